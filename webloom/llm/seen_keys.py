@@ -65,9 +65,9 @@ def first_places(arrivals: DataFrame, target: str) -> None:
 
 
 def stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """The files of a table as a stream."""
+    """The files of a table as a stream; a file source takes a single file only by a pattern."""
     path = f"{root}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path[:-1] + "[t]")
 
 
 def repeats(queue: DataFrame, arrivals: DataFrame, known: list[DataFrame]) -> DataFrame:
