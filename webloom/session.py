@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,20 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the executors' Python, once per context; the driver serves the archive."""
+    sc = spark.sparkContext
+    if getattr(sc, "_webloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="webloom-")
+    with zipfile.ZipFile(archive := os.path.join(folder, "webloom.zip"), "w") as z:
+        for at, _, names in os.walk(os.path.join(here, "webloom")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, here))
+    sc.addPyFile(archive)
+    sc._webloom_shipped = True
