@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import mixing, seen_keys, shared_spans, tokenizer
+from webloom.llm import boilerplate, mixing, seen_keys, shared_spans, tokenizer
 from webloom.sources.tables import table
 
 
@@ -19,6 +19,16 @@ def p4_wrong(spark: SparkSession, root: str) -> DataFrame:
     return seen_keys.wrong_answers(table(spark, root, "queue"), p4_found(spark, root), [table(spark, root, name) for name in ("seed_url", "crawl")])
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the pages' own articles."""
+    return boilerplate.main_lines(table(spark, root, "crawl"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Rows whose page is spam of keywords, links or tags."""
+    return boilerplate.spam_rows(table(spark, root, "crawl")).select("crawl_id")
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, root, "documents"), "doc_id", "text")
@@ -54,6 +64,8 @@ def p9_parts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_wrong": p4_wrong,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_mix": p8_mix,
