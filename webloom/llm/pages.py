@@ -72,13 +72,13 @@ def _blank(m: re.Match) -> str:
 def segments(text: str, names: tuple[str, ...] = ()) -> list[str]:
     """The parts of a line between separators and sentence ends, in lower case, numbers as ``#``, the site's names as ``@``."""
     out = []
+    text = text.casefold()
+    for n in names:
+        if n in text:
+            text = text.replace(n, "@")
     for s in _SEGMENT.split(text):
-        s = " ".join(_NUMBER.sub("#", s).split()).casefold()
-        for n in names:
-            if n in s:
-                s = s.replace(n, "@")
-        s = s.strip(" .:!?|")
-        if s:
+        s = " ".join(_NUMBER.sub("#", s).split()).strip(" .:!?|")
+        if s.strip("#-()[]"):  # else nothing but the number of a list item
             out.append(s)
     return out
 
