@@ -35,7 +35,7 @@ FORM_HEAD, FORM_FOOT = 0.12, 0.88
 #: Most keys that are sent to the executors; more are joined.
 MOST_BROADCAST = 1 << 20
 
-_COLUMNS = "rep long, host string, lang string, share double, lines binary, tree binary, pieces array<long>, on_site array<long>, forms array<long>, places array<float>"
+_COLUMNS = "rep long, host string, lang string, share double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
 #: Columns of a page's line matrix, then those of spam.measure.
 _NO, _AT, _WORDS, _LINKED, _PIECES, _FLAGS, _FORM = range(7)
 _HEADLINE, _CRUMB, _DATED, _SHORT = 1, 2, 4, 8
@@ -73,9 +73,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             title = page.title.casefold()
             lang, share, spamwise = spam.measure(page, _outside(page))
             n = len(page.lines)
-            matrix, pieces, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], []
+            matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
             for i, line in enumerate(page.lines):
                 pieces += [_key(s) for s in line.segments]
+                weights += [s.count(" ") + 1 for s in line.segments]
                 on_site.append(_key(host, *line.segments))
                 form = line.form != ""
                 if form:
@@ -83,8 +84,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     places.append(i / max(1, n - 1))
                 matrix[i] = line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, share, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, on_site, forms, places))
-        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "share", "lines", "tree", "pieces", "on_site", "forms", "places"])
+            rows.append((rep, host, lang, share, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
+        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "share", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
 
 
 def read_pages(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,14 +116,14 @@ def unimportant(parsed: DataFrame) -> DataFrame:
     return pieces.union(on_site).union(forms).distinct()
 
 
-def article_lines(lines: np.ndarray, tree: np.ndarray, dull_pieces: np.ndarray, dull_lines: np.ndarray, dull_forms: np.ndarray) -> list[int]:
+def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull_pieces: np.ndarray, dull_lines: np.ndarray, dull_forms: np.ndarray) -> list[int]:
     """Numbers of the lines of a page that are left when unimportant branches and lines are removed."""
     n = len(lines)
     if not n:
         return []
     words, at, flags = lines[:, _WORDS], lines[:, _AT], lines[:, _FLAGS]
     of_line = np.repeat(np.arange(n), lines[:, _PIECES])
-    dull_share = np.bincount(of_line, dull_pieces, n) / np.maximum(1, lines[:, _PIECES])
+    dull_share = np.bincount(of_line, dull_pieces * weights, n) / np.maximum(1, np.bincount(of_line, weights, n))
     form = np.zeros(n, bool)
     form[lines[:, _FORM] > 0] = dull_forms
     headline = (flags & _HEADLINE) > 0
@@ -182,7 +183,7 @@ def _judge(medians: dict[str, float], dull_keys: np.ndarray | None):
                 if dull is None:
                     found = b["dull"].iloc[i]
                     dull = np.sort(np.asarray([] if found is None else found, np.int64))
-                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), *(isin(b[c].iloc[i], dull) for c in ("pieces", "on_site", "forms"))))
+                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(b["weights"].iloc[i], np.int32), *(isin(b[c].iloc[i], dull) for c in ("pieces", "on_site", "forms"))))
             yield pd.DataFrame({"rep": b["rep"], "line_nos": kept})
 
     return run
@@ -198,7 +199,7 @@ def main_lines(crawl: DataFrame) -> DataFrame:
     parsed, members = read_pages(crawl)
     medians = spam.calibrated(parsed.select("lang", "share"))
     dull = frozen(unimportant(parsed), "dull")
-    columns = ["rep", "lang", "lines", "tree", "pieces", "on_site", "forms"]
+    columns = ["rep", "lang", "lines", "tree", "pieces", "weights", "on_site", "forms"]
     if dull.count() <= MOST_BROADCAST:
         keys = np.sort(np.array([r[0] for r in dull.toLocalIterator()], np.int64))
         judged = parsed.select(*columns).mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
