@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webloom.llm import boilerplate, mixing, seen_keys, shared_spans, tokenizer
+from webloom.llm import boilerplate, mixing, near_dup, seen_keys, shared_spans, tokenizer
 from webloom.sources.tables import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of rows with similar pages, and with similar addresses."""
+    crawl, out = table(spark, root, "crawl"), []
+    for column in ("page", "url"):
+        found = near_dup.row_pairs(*near_dup.crawl_similar(crawl, column))
+        out.append(found.select(F.lit(column).alias("field_name"), "crawl_id_a", "crawl_id_b"))
+    return out[0].unionByName(out[1])
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the queue whose address was known before."""
     known = [seen_keys.stream(spark, root, name) for name in ("seed_url", "crawl")]
@@ -62,6 +72,7 @@ def p9_parts(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_wrong": p4_wrong,
     "p5_found": p5_found,
