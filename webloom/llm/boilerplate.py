@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ FORM_HEAD, FORM_FOOT = 0.12, 0.88
 #: Most keys that are sent to the executors; more are joined.
 MOST_BROADCAST = 1 << 20
 
+_TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
 _COLUMNS = "rep long, host string, lang string, share double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
 #: Columns of a page's line matrix, then those of spam.measure.
 _NO, _AT, _WORDS, _LINKED, _PIECES, _FLAGS, _FORM = range(7)
@@ -55,16 +57,18 @@ def _outside(page: Page) -> list[bool]:
 
 
 def _flags(line: Line, title: str) -> int:
+    if len(line.words) > 60:  # no headline or trail is that long
+        return _DATED * line.dated
     text = " ".join(line.text.split()).casefold()
     flags = _HEADLINE if len(text) > 2 and title.startswith(text) and len(text) * 2 > len(title) - 40 else 0
     last = line.segments[-1] if len(line.segments) > 1 else ""
     if last and not flags:
-        tail = re.split(r"\s*[|·•]\s*|\s+[»›>/]\s+", text)[-1].strip()
+        tail = _TRAIL.split(text)[-1].strip()
         flags |= _CRUMB if len(tail) > 2 and title.startswith(tail.rstrip(".… ")) else 0
     return flags | _DATED * line.dated | _SHORT * (len(line.words) <= 6)
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for rep, host, text in zip(b["rep"], b["host"], b["page"]):
@@ -74,7 +78,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lang, share, spamwise = spam.measure(page, _outside(page))
             n = len(page.lines)
             matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
-            for i, line in enumerate(page.lines):
+            for i, line in enumerate(page.lines if with_pieces else ()):
                 pieces += [_key(s) for s in line.segments]
                 weights += [s.count(" ") + 1 for s in line.segments]
                 on_site.append(_key(host, *line.segments))
@@ -88,7 +92,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["rep", "host", "lang", "share", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
 
 
-def read_pages(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, DataFrame]:
     """The distinct pages, parsed (see ``_COLUMNS``), and (crawl_id, rep) of the rows that hold them; both written once.
 
     Copies of a page are combined before the shuffle and read once, under their smallest crawl_id.
@@ -96,7 +100,7 @@ def read_pages(crawl: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = crawl.where(F.col("page").isNotNull() & (F.col("page") != "") & F.col("crawl_id").isNotNull())
     digest = F.unhex(F.md5("page")).alias("digest")
     pages = rows.groupBy(digest).agg(F.min(F.struct("crawl_id", host_of(F.col("url")).alias("host"))).alias("first"), F.first("page").alias("page"))
-    parsed = frozen(pages.select(F.col("first.crawl_id").alias("rep"), F.col("first.host").alias("host"), "page").mapInPandas(_read, _COLUMNS), "pages")
+    parsed = frozen(pages.select(F.col("first.crawl_id").alias("rep"), F.col("first.host").alias("host"), "page").mapInPandas(partial(_read, with_pieces=with_pieces), _COLUMNS), "pages")
     ids = rows.select("crawl_id", digest).distinct()
     reps = ids.groupBy(F.col("digest").alias("d")).agg(F.min("crawl_id").alias("rep"))
     return parsed, ids.join(reps, F.col("digest") == F.col("d")).select("crawl_id", "rep")
@@ -216,7 +220,7 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
     Null and empty pages are none. Rows with equal pages are judged alike; a repeated row comes out once; rows without
     a crawl_id are left out. Other columns than crawl_id, url and page are not read.
     """
-    parsed, members = read_pages(crawl)
+    parsed, members = read_pages(crawl, with_pieces=False)
     medians = spam.calibrated(parsed.select("lang", "share"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 _DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)")
 _HEAD_OPEN = re.compile(r"(?is)<head\b(?:(?!</head).)*?(?=<body\b)")
@@ -19,9 +20,11 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
 _ANY_TAG = re.compile(r"<[/!?A-Za-z][^<>]*(?:>|$)")
 _LINK = re.compile(r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|$)")
 _WORD = re.compile(r"[^\W_]+")
-_SEGMENT = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+|(?<=[.!?。])\s+")
+_SEGMENT = re.compile(r"[|·•]| [»›>/] |(?<=[.!?。]) ")
 _NUMBER = re.compile(r"\d+")
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-Я][\w'-]*")
+_NAMED = re.compile(r"(?i)(?:class|id|style|width|colspan)\s*=\s*[\"']?([^\"'>]*)")
+_LANG = re.compile(r"(?i)lang\s*=\s*[\"']?([A-Za-z]+)")
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
 _SEPARATOR = re.compile(r"[|·•/,;~+*=»›#]|\s-\s")
 
@@ -42,7 +45,6 @@ class Line:
     links: int
     link_words: int
     container: int
-    style: str
     dated: bool
     separators: int
     segments: list[str]
@@ -61,6 +63,13 @@ class Page:
     side: list[bool] = field(default_factory=list)
 
 
+@lru_cache(1 << 14)
+def _container(tag: str, attrs: str) -> tuple[str, bool]:
+    """A container's tag with its class, id or form, and whether that makes it side matter."""
+    name = " ".join(_NAMED.findall(attrs)) if attrs.strip() else ""
+    return f"{tag}.{name}" if name else tag, tag in SIDE_TAGS or bool(name and SIDE_NAMES.search(name))
+
+
 def visible(fragment: str) -> str:
     return html.unescape(_ANY_TAG.sub(" ", fragment)) if "<" in fragment or "&" in fragment else fragment
 
@@ -71,23 +80,23 @@ def _blank(m: re.Match) -> str:
 
 def segments(text: str, names: tuple[str, ...] = ()) -> list[str]:
     """The parts of a line between separators and sentence ends, in lower case, numbers as ``#``, the site's names as ``@``."""
-    out = []
-    text = text.casefold()
+    text = " ".join(text.casefold().split())
     for n in names:
         if n in text:
             text = text.replace(n, "@")
-    for s in _SEGMENT.split(text):
-        s = " ".join(_NUMBER.sub("#", s).split()).strip(" .:!?|")
-        if s.strip("#-()[]"):  # else nothing but the number of a list item
-            out.append(s)
-    return out
+    if not text.isalpha():
+        text = _NUMBER.sub("#", text)
+    # A part without letters is nothing but the number of a list item.
+    return [s for x in _SEGMENT.split(text) if (s := x.strip(" .:!?|")).strip("#-()[]")]
 
 
 def form(text: str, names: tuple[str, ...] = ()) -> str:
     """A line without what differs between sites: numbers as ``#``, capitalized words as ``^``, the site's names as ``@``."""
     out = " ".join(text.split())
-    for n in names:
-        out = re.sub(re.escape(n), "@", out, flags=re.I)
+    if names and any(n in (low := out.casefold()) for n in names):
+        for n in names:
+            if n in low:
+                out = re.sub(re.escape(n), "@", out, flags=re.I)
     return _NAME.sub("^", _NUMBER.sub("#", out))
 
 
@@ -111,14 +120,15 @@ def parse(page: str, host: str = "") -> Page:
     for no, raw in enumerate(body.split("\n"), 1):
         if not raw or raw.isspace():
             continue
-        style, at, first_text = "", -2, None
+        first_text = None
         if "<" in raw:
             last = 0
             for m in _TAG.finditer(raw):
-                if first_text is None and raw[last : m.start()].strip():
+                close, tag, attrs = m.groups()
+                tag = tag.lower()
+                if first_text is None and (gap := raw[last : m.start()]) and not gap.isspace():
                     first_text = stack[-1][1] if stack else -1
                 last = m.end()
-                close, tag, attrs = m.group(1), m.group(2).lower(), m.group(3)
                 if tag in CONTAINERS:
                     if close:
                         for i in range(len(stack) - 1, -1, -1):
@@ -126,16 +136,14 @@ def parse(page: str, host: str = "") -> Page:
                                 del stack[i:]
                                 break
                     else:
-                        name = " ".join(re.findall(r"(?:class|id|style|width|colspan)\s*=\s*[\"']?([^\"'>]*)", attrs, re.I)) if attrs.strip() else ""
+                        style, side = _container(tag, attrs)
                         out.parents.append(stack[-1][1] if stack else -1)
-                        out.styles.append(f"{tag}.{name}" if name else tag)
-                        out.side.append(tag in SIDE_TAGS or bool(name and SIDE_NAMES.search(name)))
+                        out.styles.append(style)
+                        out.side.append(side)
                         stack.append((tag, len(out.parents) - 1))
                 elif tag == "html" and not close:
-                    if found := re.search(r"lang\s*=\s*[\"']?([A-Za-z]+)", attrs):
+                    if found := _LANG.search(attrs):
                         out.lang = found.group(1).lower()
-                elif not close and not style and tag not in ("a", "br", "html", "body"):
-                    style = tag + (attrs if len(attrs) < 40 else "")
             if first_text is None:
                 first_text = stack[-1][1] if stack else -1
             at = first_text
@@ -147,5 +155,5 @@ def parse(page: str, host: str = "") -> Page:
         if not words:
             continue
         links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
-        out.lines.append(Line(no, text, words, len(links), sum(links), at, style, bool(_DATE.search(text)), len(_SEPARATOR.findall(text)), segments(text, names), form(text, names) if len(words) <= FORM_WORDS else ""))
+        out.lines.append(Line(no, text, words, len(links), sum(links), at, bool(_DATE.search(text)), len(_SEPARATOR.findall(text)), segments(text, names), form(text, names) if len(words) <= FORM_WORDS else ""))
     return out

@@ -40,7 +40,7 @@ SHARE, LEAST_WORDS = 0.5, 12
 def language(words: Counter) -> str:
     """The language whose function words are the most frequent; und if none makes up 3 percent."""
     total = sum(words.values())
-    found = {k: sum(words[w] for w in s) for k, s in _SETS.items()}
+    found = {k: sum(words[w] for w in words.keys() & s) for k, s in _SETS.items()}
     best = max(found, key=found.get)
     return best if total and found[best] >= 0.03 * total else "und"
 
@@ -71,8 +71,8 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, float, np.ndarray]:
     around, pool, pooled = [], 0, 0
     for i, (line, ok) in enumerate(zip(page.lines, inner)):
         n = len(line.words)
-        has = sum(w in function for w in line.words)
-        tops = sum(w in top for w in line.words) if top else 0
+        has = sum(map(function.__contains__, line.words))
+        tops = sum(map(top.__contains__, line.words)) if top else 0
         listed = line.link_words >= LINKED * n or line.separators >= SEPARATED * n and line.separators >= 4
         listed |= sum(seen[s] > 2 for s in line.segments) > COPIED * len(line.segments)
         rows[i] = 1000 * has // max(1, n - tops), tops > 0, listed, n if ok else 0, tops if ok else 0
@@ -82,7 +82,7 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, float, np.ndarray]:
             pooled += has
     if around:
         rows[around, 0] = 1000 * pooled // max(1, pool)
-    share = sum(counts[w] for w in function) / total if total else 0.0
+    share = sum(counts[w] for w in counts.keys() & function) / total if total else 0.0
     return lang, share, rows
 
 
