@@ -97,7 +97,7 @@ def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, D
 
     Copies of a page are combined before the shuffle and read once, under their smallest crawl_id.
     """
-    rows = crawl.where(F.col("page").isNotNull() & (F.col("page") != "") & F.col("crawl_id").isNotNull())
+    rows = crawl.select("crawl_id", "url", "page").where(F.col("page").isNotNull() & (F.col("page") != "") & F.col("crawl_id").isNotNull())
     digest = F.unhex(F.md5("page")).alias("digest")
     pages = rows.groupBy(digest).agg(F.min(F.struct("crawl_id", host_of(F.col("url")).alias("host"))).alias("first"), F.first("page").alias("page"))
     parsed = frozen(pages.select(F.col("first.crawl_id").alias("rep"), F.col("first.host").alias("host"), "page").mapInPandas(partial(_read, with_pieces=with_pieces), _COLUMNS), "pages")

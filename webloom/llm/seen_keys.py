@@ -71,7 +71,7 @@ def stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 100
 
 
 def repeats(queue: DataFrame, arrivals: DataFrame, known: list[DataFrame]) -> DataFrame:
-    """The rows of ``queue`` (queue_id, url) whose key was seen before: as known, or at a smaller queue_id.
+    """(queue_id, url) of the rows of ``queue`` whose key was seen before: as known, or at a smaller queue_id.
 
     ``arrivals`` is the stream of the same rows and ``known`` are streams with a ``url``. The result is exact in
     whatever order rows stand in their files and fall into micro-batches. Rows without a key (null, empty, relative or
@@ -89,7 +89,7 @@ def repeats(queue: DataFrame, arrivals: DataFrame, known: list[DataFrame]) -> Da
     # A key that arrived in several batches has a row of each; the smallest place holds.
     firsts = spark.read.schema(schema).parquet(target).groupBy("digest").agg(F.min("first_place").alias("first_place")).where(F.col("first_place") > KNOWN)
     # Places are unique, so no key is joined here, and no key can be hot.
-    keyed = queue.where(address_key(F.col("url")).isNotNull())
+    keyed = queue.select("queue_id", "url").where(address_key(F.col("url")).isNotNull())
     return keyed.join(firsts.select("first_place"), F.col("queue_id") == F.col("first_place"), "left_anti")
 
 
