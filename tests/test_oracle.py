@@ -1,6 +1,6 @@
 """Every query with SQL against DuckDB, over the smallest tables."""
 
-import os
+import re
 from pathlib import Path
 
 import pytest
@@ -36,12 +36,9 @@ def test_same_rows(spark, con, name):
     assert got == sorted(tuple(_norm(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n in set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql()) if not re.match(r"p[3-9]_", n)))
 def test_runs(spark, name):
-    df = __spark_entry__.queries()[name](spark, str(ROOT))
-    assert df.columns
-    if os.environ.get("WEBLOOM_ALL"):
-        df.count()
+    assert __spark_entry__.queries()[name](spark, str(ROOT)).count() > 0
 
 
 def test_entry(spark):
