@@ -9,8 +9,6 @@ from webloom.functions.url import extract_links_rank, normalize_link_rank, with_
 from webloom.session import frozen
 
 DAMPING, BASE = 0.85, 0.15
-#: Rounds between writing the state out, which keeps the plan from growing.
-CUT_EVERY = 5
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
@@ -43,18 +41,12 @@ def step(state: DataFrame, weights: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, threshold: float | None = None) -> DataFrame:
     """(url, rank, prev) after ``rounds``, or as soon as no rank changes by more than ``threshold``."""
     weights = frozen(out_degrees(edges), "weights")
-    state = initial(nodes)
-    for i in range(1, rounds + 1):
-        before, state = state, step(state, weights)
-        if i % CUT_EVERY == 0:
-            state = frozen(state, "ranks")
-        elif threshold is not None:
-            state = state.persist()
-        if threshold is not None:
-            change = max_change(state)
-            before.unpersist()
-            if change <= threshold:
-                break
+    state = frozen(initial(nodes), "ranks")
+    for _ in range(rounds):
+        # Each round reads its state twice; written out it is computed once, and a lost executor costs one round.
+        state = frozen(step(state, weights), "ranks")
+        if threshold is not None and max_change(state) <= threshold:
+            break
     return state
 
 
