@@ -9,6 +9,8 @@ from webloom.functions.url import extract_links_rank, normalize_link_rank, with_
 from webloom.session import frozen
 
 DAMPING, BASE = 0.85, 0.15
+#: With a threshold, rounds between writing the state out; those between are kept in memory.
+CUT_EVERY = 5
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
@@ -42,11 +44,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, threshold: f
     """(url, rank, prev) after ``rounds``, or as soon as no rank changes by more than ``threshold``."""
     weights = frozen(out_degrees(edges), "weights")
     state = frozen(initial(nodes), "ranks")
-    for _ in range(rounds):
-        # Each round reads its state twice; written out it is computed once, and a lost executor costs one round.
-        state = frozen(step(state, weights), "ranks")
-        if threshold is not None and max_change(state) <= threshold:
-            break
+    for i in range(1, rounds + 1):
+        before, state = state, step(state, weights)
+        if threshold is None or i % CUT_EVERY == 0:
+            # Each round reads its state twice; written out it is computed once, and a lost executor costs one round.
+            state = frozen(state, "ranks")
+        else:
+            state = state.persist()
+        if threshold is not None:
+            change = max_change(state)
+            before.unpersist()
+            if change <= threshold:
+                break
     return state
 
 
