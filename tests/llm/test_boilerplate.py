@@ -88,3 +88,19 @@ def test_segments_mask_names_and_numbers():
 def test_unknown_language_is_no_spam_by_itself():
     rows = np.zeros((0, 5), np.int32)
     assert not spam.verdict("und", rows, {})
+
+
+FOREIGN = {
+    "ru": "Вчера вечером жители города собрались на площади чтобы обсудить новый мост через реку. Архитектор показал рисунки и долго отвечал на вопросы соседей. Строительство начнётся весной если совет утвердит смету до конца января.",
+    "tr": "Dün akşam kasaba halkı yeni köprüyü konuşmak için meydanda toplandı. Mimar çizimleri gösterdi ve komşuların sorularını uzun uzun yanıtladı. Meclis bütçeyi ocak sonuna kadar onaylarsa inşaat ilkbaharda başlayacak.",
+}
+
+
+@pytest.mark.parametrize("lang", [*FOREIGN, ""])
+def test_honest_pages_of_other_languages_are_no_spam(table, spark, lang):
+    text = FOREIGN[lang or "ru"]
+    body = "\n".join(f"<p>{s}.</p>" for s in text.split(". "))
+    page = f"<html{f' lang={lang}' if lang else ''}><body>\n{body}\n</body></html>"
+    crawl = table[0].select("crawl_id", "url", "page").union(spark.createDataFrame([(500, "http://far.test/", page)], "crawl_id long, url string, page string"))
+    assert {r.crawl_id for r in boilerplate.spam_rows(crawl).collect()} == table[2]
+    assert [r.line_no for r in boilerplate.main_lines(crawl).where("crawl_id = 500").orderBy("line_no").collect()] == [2, 3, 4]

@@ -37,7 +37,7 @@ FORM_HEAD, FORM_FOOT = 0.12, 0.88
 MOST_BROADCAST = 1 << 20
 
 _TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
-_COLUMNS = "rep long, host string, lang string, share double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
+_COLUMNS = "rep long, host string, lang string, sure boolean, words array<long>, share double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
 #: Columns of a page's line matrix, then those of spam.measure.
 _NO, _AT, _WORDS, _LINKED, _PIECES, _FLAGS, _FORM = range(7)
 _HEADLINE, _CRUMB, _DATED, _SHORT = 1, 2, 4, 8
@@ -75,7 +75,7 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             host = host or ""
             page = parse(text, host)
             title = page.title.casefold()
-            lang, share, spamwise = spam.measure(page, _outside(page))
+            lang, sure, words, share, spamwise = spam.measure(page, _outside(page))
             n = len(page.lines)
             matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
             for i, line in enumerate(page.lines if with_pieces else ()):
@@ -88,8 +88,8 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
                     places.append(i / max(1, n - 1))
                 matrix[i] = line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, share, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
-        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "share", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
+            rows.append((rep, host, lang, sure, words, share, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
+        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "sure", "words", "share", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
 
 
 def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -106,6 +106,13 @@ def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, D
     return parsed, ids.join(reps, F.col("digest") == F.col("d")).select("crawl_id", "rep")
 
 
+def with_languages(parsed: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the pages, after rep and the language as all pages together tell it."""
+    told = frozen(spam.recognized(parsed.select("rep", "lang", "sure", "words")), "languages")
+    unsure = parsed.where("NOT sure").select("rep", *columns).join(told, "rep")
+    return parsed.where("sure").select("rep", "lang", *columns).unionByName(unsure)
+
+
 def unimportant(parsed: DataFrame) -> DataFrame:
     """The keys of pieces, of lines on their site and of forms whose importance is too low."""
     m = max(parsed.count(), 2)
@@ -201,16 +208,16 @@ def main_lines(crawl: DataFrame) -> DataFrame:
     Other columns are not read.
     """
     parsed, members = read_pages(crawl)
-    medians = spam.calibrated(parsed.select("lang", "share"))
+    medians = spam.calibrated(parsed.select("lang", "sure", "share"))
     dull = frozen(unimportant(parsed), "dull")
-    columns = ["rep", "lang", "lines", "tree", "pieces", "weights", "on_site", "forms"]
+    pages = with_languages(parsed, "lines", "tree", "pieces", "weights", "on_site", "forms")
     if dull.count() <= MOST_BROADCAST:
         keys = np.sort(np.array([r[0] for r in dull.toLocalIterator()], np.int64))
-        judged = parsed.select(*columns).mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
+        judged = pages.mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
     else:
         every = F.explode(F.array_distinct(F.concat("pieces", "on_site", "forms"))).alias("key")
         own = parsed.select("rep", every).join(dull, "key").groupBy(F.col("rep").alias("r")).agg(F.collect_list("key").alias("dull"))
-        judged = parsed.select(*columns).join(own, F.col("rep") == F.col("r"), "left").drop("r").mapInPandas(_judge(medians, None), "rep long, line_nos array<int>")
+        judged = pages.join(own, F.col("rep") == F.col("r"), "left").drop("r").mapInPandas(_judge(medians, None), "rep long, line_nos array<int>")
     return members.join(judged.where(F.size("line_nos") > 0), "rep").select("crawl_id", F.explode("line_nos").alias("line_no"))
 
 
@@ -221,7 +228,7 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
     a crawl_id are left out. Other columns than crawl_id, url and page are not read.
     """
     parsed, members = read_pages(crawl, with_pieces=False)
-    medians = spam.calibrated(parsed.select("lang", "share"))
+    medians = spam.calibrated(parsed.select("lang", "sure", "share"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -233,5 +240,5 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
                     got.append((rep, lang, bad / words))
             yield pd.DataFrame(got, columns=["rep", "lang", "spam_share"]).astype({"rep": "int64", "lang": "str", "spam_share": "float64"})
 
-    judged = parsed.select("rep", "lang", "lines").mapInPandas(run, "rep long, lang string, spam_share double")
+    judged = with_languages(parsed, "lines").mapInPandas(run, "rep long, lang string, spam_share double")
     return members.join(judged, "rep").select("crawl_id", "lang", "spam_share")

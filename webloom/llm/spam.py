@@ -4,6 +4,10 @@ Every line outside side matter is judged by itself: does it lack the function wo
 language have, is it all links, is it cut up by separators, does it say again what other lines say, does it circle
 around the page's one word? The words of such lines, as a share of all, make the verdict. What share of function
 words a sentence must have is calibrated per language, from the distribution over all pages.
+
+A page with hardly any function words may be keywords, or sentences of a language that has no list here. The words of
+the pages whose language is sure tell which: if they make up enough of the page's words, it is in their language and
+held to it; if not, its language stays unknown, and lines of unknown languages are not asked for function words.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from webloom.llm.pages import Line, Page
 
@@ -35,14 +40,31 @@ STUFFED = 0.09
 LINKED, SEPARATED, COPIED = 0.7, 0.22, 0.5
 #: A page is spam from this share of words that are stuffed or in such lines, and from so many of these words.
 SHARE, LEAST_WORDS = 0.5, 12
+#: A page's language is sure from this share of its function words; else from this share of distinct words known from pages whose language is.
+SURE, KNOWN_WORDS = 0.1, 0.4
+#: The fewest pages that make a word known; most distinct words taken of a page whose language is sure, and of another.
+FEWEST_PAGES, TAKEN_SURE, TAKEN = 2, 16, 256
+
 
+def language(words: Counter, declared: str = "") -> tuple[str, bool]:
+    """The language whose function words are the most frequent, und if none makes up 3 percent; whether that is sure.
 
-def language(words: Counter) -> str:
-    """The language whose function words are the most frequent; und if none makes up 3 percent."""
+    A page that declares a language without a list here is never sure.
+    """
     total = sum(words.values())
     found = {k: sum(words[w] for w in words.keys() & s) for k, s in _SETS.items()}
     best = max(found, key=found.get)
-    return best if total and found[best] >= 0.03 * total else "und"
+    sure = found[best] >= SURE * total and (not declared or declared in _SETS)
+    return best if total and found[best] >= 0.03 * total else "und", bool(total) and sure
+
+
+def _taken(words: Counter, sure: bool) -> list[int]:
+    """Keys of distinct words, others on each page where not all are taken."""
+    keys = [h - (1 << 64) if (h := xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) >> 63 else h for w in words if not w.isdigit()]
+    if len(keys) > (most := TAKEN_SURE if sure else TAKEN):
+        salt = keys[0] ^ keys[-1] ^ len(keys)
+        keys = sorted(keys, key=lambda k: (k ^ salt) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)[:most]
+    return keys
 
 
 def is_menu(line: Line) -> bool:
@@ -51,8 +73,8 @@ def is_menu(line: Line) -> bool:
     return 3 <= n <= 20 and (line.links >= 3 and n <= 1.3 * line.links and line.link_words >= LINKED * n or bars >= 2 and n <= 1.3 * (bars + 1))
 
 
-def measure(page: Page, outside: list[bool]) -> tuple[str, float, np.ndarray]:
-    """Language, its share of function words, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words.
+def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], float, np.ndarray]:
+    """Language, whether it is sure, keys of words, its share of function words, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words.
 
     outside: lines that are side matter by their place; they and menus count no words. The words of lines around a
     stuffed word are pooled, without that word, as single lines are too short to tell a sentence.
@@ -63,7 +85,7 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, float, np.ndarray]:
         if ok:
             counts.update(line.words)
     total = sum(counts.values())
-    lang = language(counts)
+    lang, sure = language(counts, page.lang)
     function = _SETS.get(lang, frozenset())
     rows = np.zeros((len(page.lines), 5), np.int32)
     top = {w for w, n in counts.most_common(8) if w not in function and n >= 4 and n > STUFFED * total}
@@ -83,22 +105,39 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, float, np.ndarray]:
     if around:
         rows[around, 0] = 1000 * pooled // max(1, pool)
     share = sum(counts[w] for w in counts.keys() & function) / total if total else 0.0
-    return lang, share, rows
+    return lang, sure, _taken(counts, sure), share, rows
 
 
 def calibrated(measured: DataFrame) -> dict[str, float]:
     """Per language the median share of function words over all its pages.
 
-    measured: (lang, share). A page of no known language is held to the smallest of them.
+    measured: (lang, sure, share); pages whose language isn't sure don't count.
     """
-    rows = measured.where("lang <> 'und'").groupBy("lang").agg(F.percentile_approx("share", 0.5, 1000).alias("median")).collect()
+    rows = measured.where("sure").groupBy("lang").agg(F.percentile_approx("share", 0.5, 1000).alias("median")).collect()
     return {r["lang"]: r["median"] for r in rows}
 
 
+def recognized(measured: DataFrame) -> DataFrame:
+    """(rep, lang) of the pages whose language isn't sure: the one that knows the most of their words, und if it knows too few.
+
+    measured: (rep, lang, sure, words). A word belongs to the language in which most pages have it.
+    """
+    counted = measured.where("sure").select("lang", F.explode("words").alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    known = counted.groupBy("word").agg(F.max_by("lang", F.struct("n", "lang")).alias("of"), F.max("n").alias("n")).where(F.col("n") >= FEWEST_PAGES).select("word", "of")
+    unsure = measured.where("NOT sure")
+    own = unsure.select("rep", F.explode("words").alias("word")).join(known, "word").groupBy("rep", "of").agg(F.count("*").alias("n"))
+    best = own.groupBy(F.col("rep").alias("r")).agg(F.max_by("of", F.struct("n", "of")).alias("of"), F.sum("n").alias("n"))
+    enough = F.col("n") >= KNOWN_WORDS * F.size("words")
+    return unsure.join(best, F.col("rep") == F.col("r"), "left").select("rep", F.when(enough, F.col("of")).otherwise("und").alias("lang"))
+
+
 def spam_share(lang: str, lines: np.ndarray, medians: dict[str, float]) -> tuple[int, int]:
-    """Words that are stuffed or in lines that aren't sentences, and all words, of lines as ``measure`` gives them."""
+    """Words that are stuffed or in lines that aren't sentences, and all words, of lines as ``measure`` gives them.
+
+    Lines of a language that has no median, like und, are not asked for function words.
+    """
     words = lines[:, 3]
-    least = medians.get(lang, min(medians.values(), default=0.0))
+    least = medians.get(lang, 0.0)
     bad = (lines[:, 2] > 0) | (lines[:, 0] < 1000 * least * np.where(lines[:, 1] > 0, OF_MEDIAN_STUFFED, OF_MEDIAN))
     return int(np.where(bad, words, lines[:, 4]).sum()), int(words.sum())
 
