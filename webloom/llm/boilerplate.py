@@ -1,10 +1,11 @@
-"""The main body of pages, by a site style tree.
-
-The pages of a host are laid over each other: a node of the merged tree is a branch of containers or a piece of
-content, and a piece that n of the m pages of the site hold has the importance 1 - log_m(n): 1 if a single page has
-it, 0 if all have. Branches whose content is unimportant, and side branches that open with an unimportant
-heading, are removed from every page, then the unimportant lines of what is left. The same measure over all sites
-together stands in for sites of few pages, where menus and notices can't recur often enough.
+"""The main body of pages, by the importance of their pieces within the site and over all sites.
+
+A piece that n of the m pages of the site hold has the importance 1 - log_m(n): 1 if a single page has it, 0 if all
+have. This is the content measure of a site style tree, but no tree is merged: lines are counted by their text, not by
+their place, and containers are not counted across pages. Each page's own branches whose content is unimportant, and
+side branches that open with an unimportant heading, are removed from it, then the unimportant lines of what is left.
+The same measure over all sites together stands in for sites of few pages, where menus and notices can't recur often
+enough.
 
 Pages are read once. What is counted are 64-bit keys of pieces; only the keys of unimportant pieces come back.
 """
