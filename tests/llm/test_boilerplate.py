@@ -104,3 +104,20 @@ def test_honest_pages_of_other_languages_are_no_spam(table, spark, lang):
     crawl = table[0].select("crawl_id", "url", "page").union(spark.createDataFrame([(500, "http://far.test/", page)], "crawl_id long, url string, page string"))
     assert {r.crawl_id for r in boilerplate.spam_rows(crawl).collect()} == table[2]
     assert [r.line_no for r in boilerplate.main_lines(crawl).where("crawl_id = 500").orderBy("line_no").collect()] == [2, 3, 4]
+
+
+def test_near_copies_keep_their_article(spark):
+    rng = random.Random(7)
+    rows, truth = [], set()
+    text, own = page(rng, "A story of the many papers")
+    lines = text.split("\n")
+    for i in range(90):
+        if i % 3:
+            copy, at = page(rng, f"Title number {rng.choice(NOUNS)} and {rng.choice(NOUNS)} {i}")
+        else:  # printed again with one sentence of its own
+            at, edited = own, rng.choice(own[1:])
+            copy = "\n".join(f"<p>{sentence(rng)} {sentence(rng)}</p>" if n == edited else x for n, x in enumerate(lines, 1))
+        rows.append((i, f"http://host{i % 5}.test/{i}", copy))
+        truth |= {(i, n) for n in at}
+    crawl = spark.createDataFrame(rows, "crawl_id long, url string, page string")
+    assert {(r.crawl_id, r.line_no) for r in boilerplate.main_lines(crawl).collect()} == truth

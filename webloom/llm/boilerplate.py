@@ -7,6 +7,9 @@ side branches that open with an unimportant heading, are removed from it, then t
 The same measure over all sites together stands in for sites of few pages, where menus and notices can't recur often
 enough.
 
+An article that was fetched or printed again with small edits recurs without being boilerplate. Pages that consist
+mostly of recurring pieces are therefore counted once for each longest such piece, all others by themselves.
+
 Pages are read once. What is counted are 64-bit keys of pieces; only the keys of unimportant pieces come back.
 """
 
@@ -34,6 +37,8 @@ ALL_SITES, ONE_SITE = 0.68, 0.4
 FEWEST, FEWEST_ON_SITE, FEWEST_PAGES = 8, 8, 16
 #: Where in its page a line of a form that recurs must stand on average to be boilerplate.
 FORM_HEAD, FORM_FOOT = 0.12, 0.88
+#: Share of a page's words in recurring pieces from which the page may be a near copy and counts by its longest one.
+NEAR_COPY = 0.5
 #: Most keys that are sent to the executors; more are joined.
 MOST_BROADCAST = 1 << 20
 
@@ -114,18 +119,71 @@ def with_languages(parsed: DataFrame, *columns: str) -> DataFrame:
     return parsed.where("sure").select("rep", "lang", *columns).unionByName(unsure)
 
 
+def _isin(keys: np.ndarray, dull: np.ndarray) -> np.ndarray:
+    keys = np.asarray(keys, np.int64)
+    place = np.searchsorted(dull, keys)
+    return (place < len(dull)) & (dull[np.minimum(place, len(dull) - 1)] == keys) if len(dull) else np.zeros(len(keys), bool)
+
+
+def _marked(parsed: DataFrame, keys: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """The pages, and the sorted keys if they are few; else each page has its own of them in the column dull."""
+    if keys.count() <= MOST_BROADCAST:
+        return parsed, np.sort(np.array([r[0] for r in keys.toLocalIterator()], np.int64))
+    every = F.explode(F.array_distinct(F.concat("pieces", "on_site", "forms"))).alias("key")
+    own = parsed.select("rep", every).join(keys, "key").groupBy(F.col("rep").alias("r")).agg(F.collect_list("key").alias("dull"))
+    return parsed.join(own, F.col("rep") == F.col("r"), "left").drop("r"), None
+
+
+def _own_keys(b: pd.DataFrame, i: int, keys: np.ndarray | None) -> np.ndarray:
+    if keys is not None:
+        return keys
+    found = b["dull"].iloc[i]
+    return np.sort(np.asarray([] if found is None else found, np.int64))
+
+
+def _classes(keys: np.ndarray | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, (rep, host, lines, pieces, weights, on_site, forms) in enumerate(zip(b["rep"], b["host"], b["lines"], b["pieces"], b["weights"], b["on_site"], b["forms"])):
+                own = _own_keys(b, i, keys)
+                pieces, weights = np.asarray(pieces, np.int64), np.frombuffer(weights, np.int32)
+                found, found_lines, found_forms = (_isin(c, own) for c in (pieces, on_site, forms))
+                matrix = np.frombuffer(lines, np.int32).reshape(-1, 12)
+                shared = found | np.repeat(found_lines, matrix[:, _PIECES])
+                near = shared.any() and weights[shared].sum() >= NEAR_COPY * weights.sum()
+                # Among the longest the smallest key, so that the order of lines doesn't matter.
+                which = min(zip((-weights[shared]).tolist(), pieces[shared].tolist()))[1] if near else rep
+                held = set(pieces[found].tolist()) | set(np.asarray(on_site, np.int64)[found_lines].tolist()) | set(np.asarray(forms, np.int64)[found_forms].tolist())
+                rows.append((host, bool(near), int(which), list(held)))
+            yield pd.DataFrame(rows, columns=["host", "near", "class", "keys"])
+
+    return run
+
+
 def unimportant(parsed: DataFrame) -> DataFrame:
-    """The keys of pieces, of lines on their site and of forms whose importance is too low."""
+    """The keys of pieces, of lines on their site and of forms whose importance is too low.
+
+    Keys on enough pages are counted again, by classes of near copies instead of pages.
+    """
     m = max(parsed.count(), 2)
     least = max(FEWEST, math.exp((1 - ALL_SITES) * math.log(m)))
     counted = F.count("*").alias("n")
-    pieces = parsed.select(F.explode(F.array_distinct("pieces")).alias("key")).groupBy("key").agg(counted).where(F.col("n") >= least).select("key")
+    pieces = parsed.select(F.explode(F.array_distinct("pieces")).alias("key")).groupBy("key").agg(counted).where(F.col("n") >= least).select("key", F.lit("").alias("host"))
     sites = parsed.groupBy("host").agg(F.count("*").alias("m")).where(f"host <> '' AND m >= {FEWEST_PAGES}").withColumnRenamed("host", "h")
     lines = parsed.select("host", F.explode(F.array_distinct("on_site")).alias("key")).groupBy("host", "key").agg(counted).where(F.col("n") >= FEWEST_ON_SITE)
-    on_site = lines.join(sites, F.col("host") == F.col("h")).where(1 - F.log("n") / F.log("m") < ONE_SITE).select("key")
+    on_site = lines.join(sites, F.col("host") == F.col("h")).select("key", "host")
     forms = parsed.select(F.explode(F.arrays_zip("forms", "places")).alias("f")).groupBy(F.col("f.forms").alias("key")).agg(counted, F.avg("f.places").alias("place"))
-    forms = forms.where((F.col("n") >= least) & ((F.col("place") <= FORM_HEAD) | (F.col("place") >= FORM_FOOT))).select("key")
-    return pieces.union(on_site).union(forms).distinct()
+    forms = forms.where((F.col("n") >= least) & ((F.col("place") <= FORM_HEAD) | (F.col("place") >= FORM_FOOT))).select("key", F.lit("").alias("host"))
+    often = frozen(pieces.union(on_site).union(forms).groupBy("key").agg(F.max("host").alias("host")), "often")
+
+    pages, keys = _marked(parsed.select("rep", "host", "lines", "pieces", "weights", "on_site", "forms"), often.select("key"))
+    classes = frozen(pages.mapInPandas(_classes(keys), "host string, near boolean, class long, keys array<long>"), "classes")
+    by_class = F.count_distinct("near", "class")
+    again = classes.select("near", "class", F.explode("keys").alias("key")).groupBy("key").agg(by_class.alias("n")).join(often, "key")
+    sites = classes.where("host <> ''").groupBy(F.col("host").alias("h")).agg(by_class.alias("m"))
+    least_on_site = F.greatest(F.lit(FEWEST_ON_SITE), F.pow(F.col("m").cast("double"), F.lit(1 - ONE_SITE)))
+    return again.join(sites, F.col("host") == F.col("h"), "left").where(F.when(F.col("host") == "", F.col("n") >= least).otherwise(F.col("n") > least_on_site - 1e-9)).select("key").distinct()
 
 
 def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull_pieces: np.ndarray, dull_lines: np.ndarray, dull_forms: np.ndarray) -> list[int]:
@@ -178,11 +236,6 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
 
 
 def _judge(medians: dict[str, float], dull_keys: np.ndarray | None):
-    def isin(keys: np.ndarray, dull: np.ndarray) -> np.ndarray:
-        keys = np.asarray(keys, np.int64)
-        place = np.searchsorted(dull, keys)
-        return (place < len(dull)) & (dull[np.minimum(place, len(dull) - 1)] == keys) if len(dull) else np.zeros(len(keys), bool)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = []
@@ -191,11 +244,8 @@ def _judge(medians: dict[str, float], dull_keys: np.ndarray | None):
                 if spam.verdict(lang, matrix[:, 7:], medians):
                     kept.append([])
                     continue
-                dull = dull_keys
-                if dull is None:
-                    found = b["dull"].iloc[i]
-                    dull = np.sort(np.asarray([] if found is None else found, np.int64))
-                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(b["weights"].iloc[i], np.int32), *(isin(b[c].iloc[i], dull) for c in ("pieces", "on_site", "forms"))))
+                dull = _own_keys(b, i, dull_keys)
+                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(b["weights"].iloc[i], np.int32), *(_isin(b[c].iloc[i], dull) for c in ("pieces", "on_site", "forms"))))
             yield pd.DataFrame({"rep": b["rep"], "line_nos": kept})
 
     return run
@@ -212,13 +262,8 @@ def main_lines(crawl: DataFrame) -> DataFrame:
     medians = spam.calibrated(parsed.select("lang", "sure", "share"))
     dull = frozen(unimportant(parsed), "dull")
     pages = with_languages(parsed, "lines", "tree", "pieces", "weights", "on_site", "forms")
-    if dull.count() <= MOST_BROADCAST:
-        keys = np.sort(np.array([r[0] for r in dull.toLocalIterator()], np.int64))
-        judged = pages.mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
-    else:
-        every = F.explode(F.array_distinct(F.concat("pieces", "on_site", "forms"))).alias("key")
-        own = parsed.select("rep", every).join(dull, "key").groupBy(F.col("rep").alias("r")).agg(F.collect_list("key").alias("dull"))
-        judged = pages.join(own, F.col("rep") == F.col("r"), "left").drop("r").mapInPandas(_judge(medians, None), "rep long, line_nos array<int>")
+    pages, keys = _marked(pages, dull)
+    judged = pages.mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
     return members.join(judged.where(F.size("line_nos") > 0), "rep").select("crawl_id", F.explode("line_nos").alias("line_no"))
 
 
