@@ -121,3 +121,17 @@ def test_near_copies_keep_their_article(spark):
         truth |= {(i, n) for n in at}
     crawl = spark.createDataFrame(rows, "crawl_id long, url string, page string")
     assert {(r.crawl_id, r.line_no) for r in boilerplate.main_lines(crawl).collect()} == truth
+
+
+def measured(text):
+    p = parse(text, "")
+    lang, _, _, _, _, lines = spam.measure(p, boilerplate._outside(p))
+    return lang, lines
+
+
+def test_one_phrase_over_and_over_is_spam():
+    phrase = "the best of the red leather shoes that we have in our shop by the old stone bridge with a view on the green river and the quiet harbour"
+    medians = {"en": (0.32, spam.PHRASED)}
+    assert spam.verdict(*measured("<p>" + " ".join([phrase] * 15) + "</p>"), medians)
+    rng = random.Random(3)
+    assert not spam.verdict(*measured("<p>" + phrase + "</p>\n" + "\n".join(f"<p>{sentence(rng)}</p>" for _ in range(20))), medians)

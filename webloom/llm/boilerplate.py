@@ -43,7 +43,7 @@ NEAR_COPY = 0.5
 MOST_BROADCAST = 1 << 20
 
 _TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
-_COLUMNS = "rep long, host string, lang string, sure boolean, words array<long>, share double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
+_COLUMNS = "rep long, host string, lang string, sure boolean, words array<long>, share double, phrased double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
 #: Columns of a page's line matrix, then those of spam.measure.
 _NO, _AT, _WORDS, _LINKED, _PIECES, _FLAGS, _FORM = range(7)
 _HEADLINE, _CRUMB, _DATED, _SHORT = 1, 2, 4, 8
@@ -81,7 +81,7 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             host = host or ""
             page = parse(text, host)
             title = page.title.casefold()
-            lang, sure, words, share, spamwise = spam.measure(page, _outside(page))
+            lang, sure, words, share, phrased, spamwise = spam.measure(page, _outside(page))
             n = len(page.lines)
             matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
             for i, line in enumerate(page.lines if with_pieces else ()):
@@ -94,8 +94,8 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
                     places.append(i / max(1, n - 1))
                 matrix[i] = line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, sure, words, share, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
-        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "sure", "words", "share", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
+            rows.append((rep, host, lang, sure, words, share, phrased, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
+        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "sure", "words", "share", "phrased", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
 
 
 def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +149,7 @@ def _classes(keys: np.ndarray | None):
                 own = _own_keys(b, i, keys)
                 pieces, weights = np.asarray(pieces, np.int64), np.frombuffer(weights, np.int32)
                 found, found_lines, found_forms = (_isin(c, own) for c in (pieces, on_site, forms))
-                matrix = np.frombuffer(lines, np.int32).reshape(-1, 12)
+                matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
                 shared = found | np.repeat(found_lines, matrix[:, _PIECES])
                 near = shared.any() and weights[shared].sum() >= NEAR_COPY * weights.sum()
                 # Among the longest the smallest key, so that the order of lines doesn't matter.
@@ -240,7 +240,7 @@ def _judge(medians: dict[str, float], dull_keys: np.ndarray | None):
         for b in batches:
             kept = []
             for i, (lang, lines, tree) in enumerate(zip(b["lang"], b["lines"], b["tree"])):
-                matrix = np.frombuffer(lines, np.int32).reshape(-1, 12)
+                matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
                 if spam.verdict(lang, matrix[:, 7:], medians):
                     kept.append([])
                     continue
@@ -259,7 +259,7 @@ def main_lines(crawl: DataFrame) -> DataFrame:
     Other columns are not read.
     """
     parsed, members = read_pages(crawl)
-    medians = spam.calibrated(parsed.select("lang", "sure", "share"))
+    medians = spam.calibrated(parsed.select("lang", "sure", "share", "phrased"))
     dull = frozen(unimportant(parsed), "dull")
     pages = with_languages(parsed, "lines", "tree", "pieces", "weights", "on_site", "forms")
     pages, keys = _marked(pages, dull)
@@ -274,13 +274,13 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
     a crawl_id are left out. Other columns than crawl_id, url and page are not read.
     """
     parsed, members = read_pages(crawl, with_pieces=False)
-    medians = spam.calibrated(parsed.select("lang", "sure", "share"))
+    medians = spam.calibrated(parsed.select("lang", "sure", "share", "phrased"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = []
             for rep, lang, lines in zip(b["rep"], b["lang"], b["lines"]):
-                matrix = np.frombuffer(lines, np.int32).reshape(-1, 12)[:, 7:]
+                matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)[:, 7:]
                 if spam.verdict(lang, matrix, medians):
                     bad, words = spam.spam_share(lang, matrix, medians)
                     got.append((rep, lang, bad / words))

@@ -2,7 +2,7 @@
 
 Every line outside side matter is judged by itself: does it lack the function words that sentences of the page's
 language have, is it all links, is it cut up by separators, does it say again what other lines say, does it circle
-around the page's one word? The words of such lines, as a share of all, make the verdict. What share of function
+around the page's one word, is it made of the page's one phrase? The words of such lines, as a share of all, make the verdict. What share of function
 words a sentence must have is calibrated per language, from the distribution over all pages.
 
 A page with hardly any function words may be keywords, or sentences of a language that has no list here. The words of
@@ -38,6 +38,10 @@ OF_MEDIAN, OF_MEDIAN_STUFFED = 0.5, 0.7
 STUFFED = 0.09
 #: Links, separators and copies above these shares make a line a list.
 LINKED, SEPARATED, COPIED = 0.7, 0.22, 0.5
+#: Length of the runs of words that are counted, how often and in how many words once it must stand on a page to be a repeat, and the least share of a page's words in repeats that tells.
+RUN, REPEATED, ONCE_IN, PHRASED = 4, 4, 200, 0.2
+#: The least words in repeats for a page to count as one with repeats at all.
+LEAST_PHRASED = 12
 #: A page is spam from this share of words that are stuffed or in such lines, and from so many of these words.
 SHARE, LEAST_WORDS = 0.5, 12
 #: A page's language is sure from this share of its function words; else from this share of distinct words known from pages whose language is.
@@ -73,8 +77,30 @@ def is_menu(line: Line) -> bool:
     return 3 <= n <= 20 and (line.links >= 3 and n <= 1.3 * line.links and line.link_words >= LINKED * n or bars >= 2 and n <= 1.3 * (bars + 1))
 
 
-def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], float, np.ndarray]:
-    """Language, whether it is sure, keys of words, its share of function words, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words.
+def _phrased(lines: list[list[str]]) -> list[int]:
+    """How many words of each line are in runs of RUN words that stand on the page REPEATED times, also across lines.
+
+    On long pages common turns of speech recur too, so a run must make up a part of the page.
+    """
+    words = [w for line in lines for w in line]
+    runs = list(zip(*(words[i:] for i in range(RUN))))
+    if len(runs) - len(set(runs)) < REPEATED - 1:
+        return [0] * len(lines)
+    counts = Counter(runs)
+    least = max(REPEATED, len(words) / ONCE_IN)
+    covered = np.zeros(len(words) + 1, np.int32)
+    for i, run in enumerate(runs):
+        if counts[run] >= least:
+            covered[i : i + RUN] = 1
+    if covered.sum() < LEAST_PHRASED:
+        return [0] * len(lines)
+    ends = np.cumsum([0, *map(len, lines)])
+    before = np.concatenate([[0], np.cumsum(covered)])
+    return (before[ends[1:]] - before[ends[:-1]]).tolist()
+
+
+def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], float, float, np.ndarray]:
+    """Language, whether it is sure, keys of words, its share of function words, the share of words in repeats, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words, words in repeated runs.
 
     outside: lines that are side matter by their place; they and menus count no words. The words of lines around a
     stuffed word are pooled, without that word, as single lines are too short to tell a sentence.
@@ -87,9 +113,11 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], floa
     total = sum(counts.values())
     lang, sure = language(counts, page.lang)
     function = _SETS.get(lang, frozenset())
-    rows = np.zeros((len(page.lines), 5), np.int32)
+    rows = np.zeros((len(page.lines), 6), np.int32)
     top = {w for w, n in counts.most_common(8) if w not in function and n >= 4 and n > STUFFED * total}
     seen: Counter = Counter(s for line, ok in zip(page.lines, inner) if ok for s in line.segments)
+    phrased = _phrased([line.words for line, ok in zip(page.lines, inner) if ok])
+    rows[inner, 5] = phrased
     around, pool, pooled = [], 0, 0
     for i, (line, ok) in enumerate(zip(page.lines, inner)):
         n = len(line.words)
@@ -97,7 +125,7 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], floa
         tops = sum(map(top.__contains__, line.words)) if top else 0
         listed = line.link_words >= LINKED * n or line.separators >= SEPARATED * n and line.separators >= 4
         listed |= sum(seen[s] > 2 for s in line.segments) > COPIED * len(line.segments)
-        rows[i] = 1000 * has // max(1, n - tops), tops > 0, listed, n if ok else 0, tops if ok else 0
+        rows[i, :5] = 1000 * has // max(1, n - tops), tops > 0, listed, n if ok else 0, tops if ok else 0
         if tops and ok:
             around.append(i)
             pool += n - tops
@@ -105,16 +133,18 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], floa
     if around:
         rows[around, 0] = 1000 * pooled // max(1, pool)
     share = sum(counts[w] for w in counts.keys() & function) / total if total else 0.0
-    return lang, sure, _taken(counts, sure), share, rows
+    return lang, sure, _taken(counts, sure), share, sum(phrased) / max(1, total), rows
 
 
-def calibrated(measured: DataFrame) -> dict[str, float]:
-    """Per language the median share of function words over all its pages.
+def calibrated(measured: DataFrame) -> dict[str, tuple[float, float]]:
+    """Per language, over all its pages, the median share of function words, and from what share on words in repeats tell.
 
-    measured: (lang, sure, share); pages whose language isn't sure don't count.
+    measured: (lang, sure, share, phrased); pages whose language isn't sure don't count. The latter is twice the median
+    share of repeats, PHRASED at least and SHARE at most.
     """
-    rows = measured.where("sure").groupBy("lang").agg(F.percentile_approx("share", 0.5, 1000).alias("median")).collect()
-    return {r["lang"]: r["median"] for r in rows}
+    median = lambda c: F.percentile_approx(c, 0.5, 1000).alias(c)
+    rows = measured.where("sure").groupBy("lang").agg(median("share"), median("phrased")).collect()
+    return {r["lang"]: (r["share"], min(SHARE, max(PHRASED, 2 * r["phrased"]))) for r in rows}
 
 
 def recognized(measured: DataFrame) -> DataFrame:
@@ -131,17 +161,19 @@ def recognized(measured: DataFrame) -> DataFrame:
     return unsure.join(best, F.col("rep") == F.col("r"), "left").select("rep", F.when(enough, F.col("of")).otherwise("und").alias("lang"))
 
 
-def spam_share(lang: str, lines: np.ndarray, medians: dict[str, float]) -> tuple[int, int]:
+def spam_share(lang: str, lines: np.ndarray, medians: dict[str, tuple[float, float]]) -> tuple[int, int]:
     """Words that are stuffed or in lines that aren't sentences, and all words, of lines as ``measure`` gives them.
 
     Lines of a language that has no median, like und, are not asked for function words.
     """
     words = lines[:, 3]
-    least = medians.get(lang, 0.0)
+    least, most = medians.get(lang, (0.0, PHRASED))
+    phrased = lines[:, 5:].sum(axis=1)
+    own = np.maximum(lines[:, 4], phrased) if phrased.sum() >= most * words.sum() else lines[:, 4]
     bad = (lines[:, 2] > 0) | (lines[:, 0] < 1000 * least * np.where(lines[:, 1] > 0, OF_MEDIAN_STUFFED, OF_MEDIAN))
-    return int(np.where(bad, words, lines[:, 4]).sum()), int(words.sum())
+    return int(np.where(bad, words, own).sum()), int(words.sum())
 
 
-def verdict(lang: str, lines: np.ndarray, medians: dict[str, float]) -> bool:
+def verdict(lang: str, lines: np.ndarray, medians: dict[str, tuple[float, float]]) -> bool:
     bad, words = spam_share(lang, lines, medians)
     return bad >= LEAST_WORDS and bad >= SHARE * words
