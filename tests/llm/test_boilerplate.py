@@ -135,3 +135,13 @@ def test_one_phrase_over_and_over_is_spam():
     assert spam.verdict(*measured("<p>" + " ".join([phrase] * 15) + "</p>"), medians)
     rng = random.Random(3)
     assert not spam.verdict(*measured("<p>" + phrase + "</p>\n" + "\n".join(f"<p>{sentence(rng)}</p>" for _ in range(20))), medians)
+
+
+def test_many_lines_like_menus_are_spam_unless_they_recur_on_the_site(table, spark):
+    rng = random.Random(5)
+    row = lambda: " | ".join(rng.sample(NOUNS, 4))
+    rows = [(600, "http://keys.test/", "\n".join(f"<p>{row()}</p>" for _ in range(20)))]
+    menu = "\n".join(f"<p>{row()}</p>" for _ in range(4))
+    rows += [(601 + i, f"http://short.test/{i}", f"{menu}\n<p>{sentence(rng)}</p>") for i in range(4)]
+    crawl = table[0].select("crawl_id", "url", "page").union(spark.createDataFrame(rows, "crawl_id long, url string, page string"))
+    assert {r.crawl_id for r in boilerplate.spam_rows(crawl).collect()} == table[2] | {600}

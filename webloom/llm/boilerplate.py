@@ -43,7 +43,7 @@ NEAR_COPY = 0.5
 MOST_BROADCAST = 1 << 20
 
 _TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
-_COLUMNS = "rep long, host string, lang string, sure boolean, words array<long>, share double, phrased double, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
+_COLUMNS = "rep long, host string, lang string, sure boolean, words array<long>, share double, phrased double, doubted boolean, menus array<long>, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
 #: Columns of a page's line matrix, then those of spam.measure.
 _NO, _AT, _WORDS, _LINKED, _PIECES, _FLAGS, _FORM = range(7)
 _HEADLINE, _CRUMB, _DATED, _SHORT = 1, 2, 4, 8
@@ -81,7 +81,10 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             host = host or ""
             page = parse(text, host)
             title = page.title.casefold()
-            lang, sure, words, share, phrased, spamwise = spam.measure(page, _outside(page))
+            outside = _outside(page)
+            found = spam.menu_lines(page, outside)
+            lang, sure, words, share, phrased, spamwise = spam.measure(page, outside, *found)
+            menus = [_key(host, *line.words) for line, m in zip(page.lines, found[0]) if m]
             n = len(page.lines)
             matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
             for i, line in enumerate(page.lines if with_pieces else ()):
@@ -94,8 +97,8 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
                     places.append(i / max(1, n - 1))
                 matrix[i] = line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, sure, words, share, phrased, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
-        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "sure", "words", "share", "phrased", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
+            rows.append((rep, host, lang, sure, words, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
+        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "sure", "words", "share", "phrased", "doubted", "menus", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
 
 
 def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -112,11 +115,18 @@ def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, D
     return parsed, ids.join(reps, F.col("digest") == F.col("d")).select("crawl_id", "rep")
 
 
-def with_languages(parsed: DataFrame, *columns: str) -> DataFrame:
-    """These columns of the pages, after rep and the language as all pages together tell it."""
+def with_site(parsed: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the pages, after rep, menus, the language as all pages tell it, and which doubted menus recur on their site."""
     told = frozen(spam.recognized(parsed.select("rep", "lang", "sure", "words")), "languages")
-    unsure = parsed.where("NOT sure").select("rep", *columns).join(told, "rep")
-    return parsed.where("sure").select("rep", "lang", *columns).unionByName(unsure)
+    lines = parsed.where("host <> ''").select("rep", F.explode(F.array_distinct("menus")).alias("key"))
+    often = lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= spam.MENU_PAGES).select("key")
+    doubted = parsed.where("doubted").select("rep", F.explode(F.array_distinct("menus")).alias("key"))
+    recurring = frozen(doubted.join(often, "key").groupBy("rep").agg(F.collect_list("key").alias("recurring")), "menus")
+    kept = parsed.select("rep", "lang", "sure", "doubted", "menus", *columns)
+    none = F.array().cast("array<long>")
+    unsure = kept.where("NOT sure OR doubted").join(told.withColumnRenamed("lang", "told"), "rep", "left").join(recurring, "rep", "left")
+    unsure = unsure.withColumns({"lang": F.coalesce("told", "lang"), "recurring": F.coalesce("recurring", none)}).drop("told")
+    return kept.where("sure AND NOT doubted").withColumn("recurring", none).unionByName(unsure).drop("sure", "doubted")
 
 
 def _isin(keys: np.ndarray, dull: np.ndarray) -> np.ndarray:
@@ -239,9 +249,9 @@ def _judge(medians: dict[str, float], dull_keys: np.ndarray | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = []
-            for i, (lang, lines, tree) in enumerate(zip(b["lang"], b["lines"], b["tree"])):
+            for i, (lang, lines, tree, menus, recurring) in enumerate(zip(b["lang"], b["lines"], b["tree"], b["menus"], b["recurring"])):
                 matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
-                if spam.verdict(lang, matrix[:, 7:], medians):
+                if spam.verdict(lang, spam.without_menus(matrix[:, 7:], menus, recurring), medians):
                     kept.append([])
                     continue
                 dull = _own_keys(b, i, dull_keys)
@@ -261,7 +271,7 @@ def main_lines(crawl: DataFrame) -> DataFrame:
     parsed, members = read_pages(crawl)
     medians = spam.calibrated(parsed.select("lang", "sure", "share", "phrased"))
     dull = frozen(unimportant(parsed), "dull")
-    pages = with_languages(parsed, "lines", "tree", "pieces", "weights", "on_site", "forms")
+    pages = with_site(parsed, "lines", "tree", "pieces", "weights", "on_site", "forms")
     pages, keys = _marked(pages, dull)
     judged = pages.mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
     return members.join(judged.where(F.size("line_nos") > 0), "rep").select("crawl_id", F.explode("line_nos").alias("line_no"))
@@ -279,12 +289,13 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = []
-            for rep, lang, lines in zip(b["rep"], b["lang"], b["lines"]):
+            for rep, lang, lines, menus, recurring in zip(b["rep"], b["lang"], b["lines"], b["menus"], b["recurring"]):
                 matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)[:, 7:]
+                matrix = spam.without_menus(matrix, menus, recurring)
                 if spam.verdict(lang, matrix, medians):
                     bad, words = spam.spam_share(lang, matrix, medians)
                     got.append((rep, lang, bad / words))
             yield pd.DataFrame(got, columns=["rep", "lang", "spam_share"]).astype({"rep": "int64", "lang": "str", "spam_share": "float64"})
 
-    judged = with_languages(parsed, "lines").mapInPandas(run, "rep long, lang string, spam_share double")
+    judged = with_site(parsed, "lines").mapInPandas(run, "rep long, lang string, spam_share double")
     return members.join(judged, "rep").select("crawl_id", "lang", "spam_share")

@@ -42,6 +42,8 @@ LINKED, SEPARATED, COPIED = 0.7, 0.22, 0.5
 RUN, REPEATED, ONCE_IN, PHRASED = 4, 4, 200, 0.2
 #: The least words in repeats for a page to count as one with repeats at all.
 LEAST_PHRASED = 12
+#: Lines that look like menus are doubted above this part of the words of the page's other text; then they are menus if so many pages of the site hold them, up to so many words.
+OF_TEXT, MENU_PAGES, MENU_WORDS = 0.5, 3, 60
 #: A page is spam from this share of words that are stuffed or in such lines, and from so many of these words.
 SHARE, LEAST_WORDS = 0.5, 12
 #: A page's language is sure from this share of its function words; else from this share of distinct words known from pages whose language is.
@@ -77,6 +79,25 @@ def is_menu(line: Line) -> bool:
     return 3 <= n <= 20 and (line.links >= 3 and n <= 1.3 * line.links and line.link_words >= LINKED * n or bars >= 2 and n <= 1.3 * (bars + 1))
 
 
+def menu_lines(page: Page, outside: list[bool]) -> tuple[list[bool], bool]:
+    """Which lines outside side matter look like menus, and whether that is in doubt, as they are many against the page's other text."""
+    menus = [not o and is_menu(line) for line, o in zip(page.lines, outside)]
+    words = sum(len(line.words) for line, m in zip(page.lines, menus) if m)
+    rest = sum(len(line.words) for line, m, o in zip(page.lines, menus, outside) if not (m or o))
+    return menus, words >= LEAST_WORDS and words > OF_TEXT * rest
+
+
+def without_menus(lines: np.ndarray, keys: np.ndarray, recurring: np.ndarray) -> np.ndarray:
+    """Lines as ``measure`` gives them, without words in doubted menus that recur on the site. keys: of the menus in order."""
+    at = np.flatnonzero(lines[:, 2] == 2)
+    at = at[np.isin(keys, recurring)] if len(at) else at
+    if not len(at) or lines[at, 3].sum() > MENU_WORDS:
+        return lines
+    lines = lines.copy()
+    lines[at, 3:] = 0
+    return lines
+
+
 def _phrased(lines: list[list[str]]) -> list[int]:
     """How many words of each line are in runs of RUN words that stand on the page REPEATED times, also across lines.
 
@@ -99,13 +120,16 @@ def _phrased(lines: list[list[str]]) -> list[int]:
     return (before[ends[1:]] - before[ends[:-1]]).tolist()
 
 
-def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], float, float, np.ndarray]:
+def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, doubted: bool = False) -> tuple[str, bool, list[int], float, float, np.ndarray]:
     """Language, whether it is sure, keys of words, its share of function words, the share of words in repeats, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words, words in repeated runs.
 
-    outside: lines that are side matter by their place; they and menus count no words. The words of lines around a
+    outside: lines that are side matter by their place; they and menus count no words. menus, doubted: as
+    ``menu_lines`` gives them; doubted menus count as lists, marked by 2. The words of lines around a
     stuffed word are pooled, without that word, as single lines are too short to tell a sentence.
     """
-    inner = [not (o or is_menu(line)) for line, o in zip(page.lines, outside)]
+    if menus is None:
+        menus, doubted = menu_lines(page, outside)
+    inner = [not (o or m and not doubted) for o, m in zip(outside, menus)]
     counts: Counter = Counter()
     for line, ok in zip(page.lines, inner):
         if ok:
@@ -125,7 +149,7 @@ def measure(page: Page, outside: list[bool]) -> tuple[str, bool, list[int], floa
         tops = sum(map(top.__contains__, line.words)) if top else 0
         listed = line.link_words >= LINKED * n or line.separators >= SEPARATED * n and line.separators >= 4
         listed |= sum(seen[s] > 2 for s in line.segments) > COPIED * len(line.segments)
-        rows[i, :5] = 1000 * has // max(1, n - tops), tops > 0, listed, n if ok else 0, tops if ok else 0
+        rows[i, :5] = 1000 * has // max(1, n - tops), tops > 0, 2 if menus[i] and doubted else listed, n if ok else 0, tops if ok else 0
         if tops and ok:
             around.append(i)
             pool += n - tops
