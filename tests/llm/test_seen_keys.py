@@ -23,27 +23,51 @@ def test_keys(spark, given, key):
     assert spark.range(1).select(seen_keys.address_key(F.lit(given).cast("string")).alias("k")).first().k == key
 
 
-def test_repeats_over_many_batches(spark, tmp_path):
+def rows_and_truth(spark):
     rng = random.Random(4)
     urls = [None, "", "x", *(f"http://h{i}.test/{i}" for i in range(30)), "HTTP://H1.test:80/1#z"]
     rows = [(i, rng.choice(urls) if i % 3 else "http://hot.test/", "clash") for i in range(400)]
-    rng.shuffle(rows)
-    frame = lambda r: spark.createDataFrame(r, "queue_id long, url string, first_place string")
-    for n in range(0, 400, 100):
-        frame(rows[n : n + 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "queue.parquet"))
-    frame([(0, "http://h5.test:80/5", "")]).write.parquet(str(tmp_path / "crawl.parquet"))
-    frame([]).write.parquet(str(tmp_path / "seed_url.parquet"))
-    root = str(tmp_path)
-    known = [seen_keys.stream(spark, root, n, 1) for n in ("seed_url", "crawl")]
-    queue = spark.read.parquet(f"{root}/queue.parquet")
-    got = {r.queue_id for r in seen_keys.repeats(queue, seen_keys.stream(spark, root, "queue", 1), known).collect()}
     key = {u: k for u, k in spark.createDataFrame([(u,) for u in urls if u is not None] + [("http://hot.test/",)], "u string").select("u", seen_keys.address_key(F.col("u"))).collect()}
     seen, expected = {"http://h5.test:80/5"}, set()
-    for i, u, _ in sorted(rows, key=lambda r: r[0]):
+    for i, u, _ in rows:
         if k := key.get(u):
             if k in seen:
                 expected.add(i)
             seen.add(k)
-    assert got == expected
-    report = seen_keys.wrong_answers(queue, spark.createDataFrame([(i,) for i in sorted(got)], "queue_id long"), [spark.read.parquet(f"{root}/crawl.parquet")]).first()
+    rng.shuffle(rows)
+    frame = lambda r: spark.createDataFrame(r, "queue_id long, url string, first_place string")
+    return frame(rows), [frame([]).select("url"), frame([(0, "http://h5.test:80/5", "")])], expected
+
+
+def test_repeats_over_many_batches(spark):
+    queue, known, expected = rows_and_truth(spark)
+    for batch_rows in (90, 1 << 26):
+        got = [r.queue_id for r in seen_keys.repeats(queue, known, batch_rows).collect()]
+        assert sorted(got) == sorted(expected)
+    report = seen_keys.wrong_answers(queue, spark.createDataFrame([(i,) for i in got], "queue_id long"), known).first()
     assert (report.n_rows, report.n_repeats, report.n_wrong, report.wrong_rate) == (400, len(expected), 0, 0.0)
+
+
+def test_state_outlives_its_session(spark, tmp_path):
+    """Stop between micro-batches, and within one: what was fed but not answered is answered when the folder is opened again."""
+    queue, known, expected = rows_and_truth(spark)
+    folder = f"file://{tmp_path}/seen"
+    parts = seen_keys.ranges(seen_keys.arrivals(queue), 150)
+    assert len(parts) == 3
+    first = seen_keys.SeenKeys(spark, folder)
+    first.feed(known[1].select(seen_keys.key_digest(seen_keys.address_key(F.col("url"))).alias("digest"), F.lit(seen_keys.KNOWN).alias("place")))
+    first.feed(parts[0])
+    first._run = lambda: None  # the session ends before the micro-batch
+    first.feed(parts[1])
+    second = seen_keys.SeenKeys(spark, folder)
+    assert second.fed == 3
+    second.feed(parts[2])
+    answers = {r.place: r.repeat for r in second.answers().collect()}
+    assert {p for p, repeat in answers.items() if repeat} == expected and len(answers) == seen_keys.arrivals(queue).count()
+
+
+def test_clashing_ids_and_empty_tables(spark):
+    frame = lambda r: spark.createDataFrame(r, "queue_id long, url string")
+    queue = frame([(1, "http://a.test"), (2, "http://a.test"), (2, "http://b.test"), (3, "http://c.test"), (3, "http://c.test"), (None, "http://c.test")])
+    assert [r.queue_id for r in seen_keys.repeats(queue, []).collect()] == [2]
+    assert seen_keys.repeats(frame([]), [frame([])]).count() == 0

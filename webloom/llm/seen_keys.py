@@ -1,9 +1,14 @@
 """First or repeat: whether each key of a stream occurred before, from keyed state on disk.
 
-A streaming aggregation keeps one row per key, the place at which it was first seen; a key is seen if it has a row.
-The state lives in RocksDB on the executors' disks, partitioned by key, with its changes checkpointed to the shared
-folder; there is no watermark, so no key ever expires and the answers are exact. Rows of one micro-batch are combined
-per key before the shuffle, so a key with a third of all rows reaches the state as one row per task and batch.
+A streaming query keeps one flag per key, the place at which it was first seen. The state lives in RocksDB on the
+executors' disks, partitioned by key, with its changes checkpointed to the shared folder; there is no watermark, so no
+key ever expires and the answers are exact. Keys known beforehand are fed first, then arrivals in ranges of their
+order; each feed is one micro-batch, after which the query stops. The next one, in this session or a later one, goes on
+from the checkpoint. As the state has seen everything before a range when it meets the range, its flags decide the
+range for good, and the answers of every record are written with the micro-batch.
+
+Rows of one micro-batch are combined per key before the shuffle, so a key with a third of all rows reaches the state as
+one row per task and batch. Answers are matched by place, which no two records share, so no key is hot there either.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.session import work_dir
+from webloom.session import frozen, work_dir
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -21,20 +26,29 @@ _STATE = {
 }
 #: Place of the keys that were known before the stream began.
 KNOWN = -1
+#: Records in a micro-batch, about.
+BATCH_ROWS = 1 << 26
+_ARRIVALS, _ANSWERS = "digest binary, place long", "place long, repeat boolean"
 
 
 def address_key(url: Column) -> Column:
     """The key of an address, null if it isn't http or https: trimmed of spaces and tabs, scheme and host in lower case,
     port written out, no fragment, an empty path as ``/``."""
-    trimmed = F.regexp_replace(F.regexp_replace(url, r"^[ \t]+|[ \t]+$", ""), r"(?s)#.*$", "")
-    part = lambda i: F.regexp_extract(trimmed, r"(?s)^([Hh][Tt][Tt][Pp][Ss]?)://([^/?]*)(.*)$", i)
-    scheme, authority, rest = F.lower(part(1)), part(2), part(3)
-    name = F.regexp_replace(authority, r":[0-9]*$", "")
-    host = F.concat(F.regexp_extract(name, r"^((?:.*@)?)", 1), F.lower(F.regexp_extract(name, r"([^@]*)$", 1)))
-    port = F.regexp_extract(authority, r":([0-9]+)$", 1)
-    port = F.when(port != "", port).when(scheme == "https", "443").otherwise("80")
+    given = F.substring_index(F.btrim(url, F.lit(" \t")), "#", 1)
+    start = F.lower(F.substring(given, 1, 8))
+    secure = start == "https://"
+    after = F.when(secure, F.substr(given, F.lit(9))).otherwise(F.substr(given, F.lit(8)))
+    authority = F.substring_index(F.substring_index(after, "/", 1), "?", 1)
+    rest = F.substr(after, F.length(authority) + 1)
+    last = F.substring_index(authority, ":", -1)
+    ported = authority.contains(":") & (F.translate(last, "0123456789", "") == "")
+    name = F.when(ported, F.substr(authority, F.lit(1), F.length(authority) - F.length(last) - 1)).otherwise(authority)
+    host = F.substring_index(name, "@", -1)
+    port = F.when(ported & (last != ""), last).when(secure, "443").otherwise("80")
     path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.lit(":"), port, path))
+    user = F.substr(name, F.lit(1), F.length(name) - F.length(host))
+    key = F.concat(F.when(secure, "https://").otherwise("http://"), user, F.lower(host), F.lit(":"), port, path)
+    return F.when(secure | (F.substring(start, 1, 7) == "http://"), key)
 
 
 def key_digest(key: Column) -> Column:
@@ -42,55 +56,91 @@ def key_digest(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
-def first_places(arrivals: DataFrame, target: str) -> None:
-    """Run the stream ``arrivals`` (digest, place) to its present end, writing (digest, first_place) to ``target``.
-
-    Per micro-batch each key that arrived comes out with the smallest place seen so far. Null digests are skipped.
-    """
-    spark = arrivals.sparkSession
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
-        spark.conf.set(k, v)
-    try:
-        firsts = arrivals.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("place").alias("first_place"))
-
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-        query = firsts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", work_dir(spark, "seen-state")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
-def stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """The files of a table as a stream; a file source takes a single file only by a pattern."""
-    path = f"{root}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path[:-1] + "[t]")
-
-
-def repeats(queue: DataFrame, arrivals: DataFrame, known: list[DataFrame]) -> DataFrame:
-    """(queue_id, url) of the rows of ``queue`` whose key was seen before: as known, or at a smaller queue_id.
-
-    ``arrivals`` is the stream of the same rows and ``known`` are streams with a ``url``. The result is exact in
-    whatever order rows stand in their files and fall into micro-batches. Rows without a key (null, empty, relative or
-    not http) are never repeats. Rows that share a queue_id count as one arrival. Empty streams know nothing.
+class SeenKeys:
+    """Keyed state in a folder, fed one micro-batch at a time; opening the folder again goes on from its last one."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, folder or work_dir(spark, "seen-keys")
+        self.fed = self._whole("feed")
+        if self.fed:
+            self._run()  # a feed whose micro-batch didn't end
+
+    def _whole(self, name: str) -> int:
+        """How many feeds are wholly written."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        n = 0
+        while fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/n{n:09d}/_SUCCESS")):
+            n += 1
+        return n
+
+    def feed(self, rows: DataFrame) -> None:
+        """Take in ``rows`` (digest, place) as one micro-batch; places above KNOWN must not be below those fed before. Null digests are skipped."""
+        path = f"{self.folder}/feed/n{self.fed:09d}"
+        rows.select("digest", F.col("place").cast("long").alias("place")).where("digest IS NOT NULL").write.mode("overwrite").parquet(path)
+        self.fed += 1
+        self._run()
+
+    def _answer(self, flags: DataFrame, batch: int) -> None:
+        """Write the answers of a micro-batch. flags: (digest, first_place) of the keys in it, as the state has them."""
+        rows = self.spark.read.schema(_ARRIVALS).parquet(f"{self.folder}/feed/n{batch:09d}").where(F.col("place") > KNOWN)
+        firsts = flags.where(F.col("first_place") > KNOWN).select(F.col("digest").alias("d"), "first_place")
+        joined = rows.join(firsts, (F.col("place") == F.col("first_place")) & (F.col("digest") == F.col("d")), "left")
+        joined.select("place", F.col("first_place").isNull().alias("repeat")).write.mode("overwrite").parquet(f"{self.folder}/answers/batch={batch}")
+
+    def _run(self) -> None:
+        spark = self.spark
+        before = {k: spark.conf.get(k, None) for k in _STATE}
+        for k, v in _STATE.items():
+            spark.conf.set(k, v)
+        try:
+            arrivals = spark.readStream.schema(_ARRIVALS).parquet(f"{self.folder}/feed/*")
+            flags = arrivals.groupBy("digest").agg(F.min("place").alias("first_place"))
+            query = flags.writeStream.outputMode("update").foreachBatch(self._answer).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+    def answers(self) -> DataFrame:
+        """(place, repeat) of every record fed after the known keys."""
+        if not self.fed:
+            return self.spark.createDataFrame([], _ANSWERS)
+        return self.spark.read.schema(_ANSWERS).parquet(f"{self.folder}/answers").select("place", "repeat")
+
+
+def ranges(rows: DataFrame, batch_rows: int) -> list[DataFrame]:
+    """``rows`` (digest, place) cut into ranges of place of about ``batch_rows``, in order."""
+    n = -(-rows.count() // batch_rows)
+    if n <= 1:
+        return [rows]
+    staged = frozen(rows, "arrivals")
+    cuts = sorted(set(staged.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 100 * n)).first()[0]))
+    return [staged.where(F.lit(True) if lo is None else F.col("place") > lo).where(F.lit(True) if hi is None else F.col("place") <= hi) for lo, hi in zip([None, *cuts], [*cuts, None])]
+
+
+def arrivals(queue: DataFrame) -> DataFrame:
+    """(digest, place) of the rows of ``queue`` (queue_id, url) that have a key."""
+    return queue.select(key_digest(address_key(F.col("url"))).alias("digest"), F.col("queue_id").cast("long").alias("place")).where("digest IS NOT NULL AND place IS NOT NULL")
+
+
+def repeats(queue: DataFrame, known: list[DataFrame], batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """(queue_id) of the rows of ``queue`` whose key was seen before: as known, or at a smaller queue_id.
+
+    ``known`` are tables with a ``url``. Rows may stand in any order. Rows without a key (null, empty, relative or not
+    http) and without a queue_id are never repeats. A queue_id that is repeated comes out once; with one key it is one
+    arrival, with several it is a repeat if one of them is. Empty tables know nothing. Other columns are not read.
     """
-    spark = queue.sparkSession
-    digest = key_digest(address_key(F.col("url"))).alias("digest")
-    places = arrivals.select(digest, F.col("queue_id").cast("long").alias("place"))
+    seen = SeenKeys(queue.sparkSession)
+    before = None
     for k in known:
-        places = places.unionByName(k.select(digest, F.lit(KNOWN).cast("long").alias("place")))
-    target = work_dir(spark, "first-places")
-    schema = "digest binary, first_place long, batch int"
-    spark.createDataFrame([], "digest binary, first_place long").write.parquet(f"{target}/batch=-1")
-    first_places(places, target)
-    # A key that arrived in several batches has a row of each; the smallest place holds.
-    firsts = spark.read.schema(schema).parquet(target).groupBy("digest").agg(F.min("first_place").alias("first_place")).where(F.col("first_place") > KNOWN)
-    # Places are unique, so no key is joined here, and no key can be hot.
-    keyed = queue.select("queue_id", "url").where(address_key(F.col("url")).isNotNull())
-    return keyed.join(firsts.select("first_place"), F.col("queue_id") == F.col("first_place"), "left_anti")
+        rows = k.select(key_digest(address_key(F.col("url"))).alias("digest"), F.lit(KNOWN).cast("long").alias("place"))
+        before = rows if before is None else before.unionByName(rows)
+    if before is not None:
+        seen.feed(before)
+    for part in ranges(arrivals(queue), batch_rows):
+        seen.feed(part)
+    return seen.answers().where("repeat").select(F.col("place").alias("queue_id")).distinct()
 
 
 def exact_repeats(queue: DataFrame, known: list[DataFrame]) -> DataFrame:
