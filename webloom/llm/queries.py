@@ -44,9 +44,8 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of recipes whose target can't be reached, from the plan of the mix."""
-    _, lines = mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_target"))
-    return lines.where("target_share > 0 AND NOT reachable").select("recipe", "source")
+    """Lines of recipes whose target can't be reached: the mix drew all that is allowed of their source and falls short."""
+    return p8_shares(spark, root).where("target_share > 0 AND NOT reachable").select("recipe", "source")
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:
