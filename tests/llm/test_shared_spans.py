@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from webloom.llm import shared_spans as module
 from webloom.llm.shared_spans import COVER, PERIOD, cover_positions, shared_parts, shared_spans, window_hashes
 
 
@@ -35,6 +36,17 @@ def test_cover_meets_every_alignment():
     assert list(cover_positions(0)) == [] and all(p % PERIOD in COVER for p in cover_positions(500))
 
 
+def test_packed_numbers_and_second_hash():
+    import numpy as np
+
+    for numbers in ([], [5], [3, 3, 900, -7, 1 << 40]):
+        assert module.unsqueeze(module.squeeze(np.array(numbers, np.int64))).tolist() == numbers
+    text, width = "héllo🙂wörld" * 400, 11
+    slow = lambda t: sum((ord(c) + 1) * pow(module._POINT, i, module._PRIME) for i, c in enumerate(t)) % module._PRIME
+    starts = np.array([0, 1, 2500, 4389])
+    assert module.second_hashes(text, starts, width).tolist() == [slow(text[s : s + width]) for s in starts]
+
+
 def test_hash_ignores_place():
     import numpy as np
 
@@ -42,13 +54,15 @@ def test_hash_ignores_place():
     assert a == b and a != window_hashes("héllo🙂wörle", np.array([0]), 11)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, flush, bucket", [(1, 1 << 21, 500_000), (2, 60, 40)])
+def test_against_brute_force(spark, monkeypatch, seed, flush, bucket):
+    monkeypatch.setattr(module, "FLUSH", flush)
+    monkeypatch.setattr(module, "BUCKET", bucket)
     rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("ab🙂é \n") for _ in range(n))
     shared = [word(n) for n in (100, 101, 102, 130, 250)]
     rows = [(i, word(rng.randint(0, 90)) + rng.choice(shared) + word(rng.randint(0, 60)) + rng.choice(shared)[: rng.randint(50, 250)]) for i in range(40)]
-    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (104, "z" * 3000), (105, "z" * 101), (106, "q" * 300), (106, "q" * 300)]
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (104, "z" * 3000), (105, "z" * 101), (106, "q" * 300), (106, "q" * 300), (107, "r" * 150), (107, "r" * 160)]
     got = {(r.doc_id, r.start_pos, r.end_pos) for r in shared_spans(frame(spark, rows), 101).collect()}
     assert got == brute(list(dict.fromkeys(rows)), 101)
 
