@@ -122,6 +122,8 @@ def _shared(hashes: tuple[np.ndarray, ...], rid: np.ndarray, lo: np.ndarray, hi:
     r, low, high = rid[order], lo[order], hi[order]
     many = (np.minimum.reduceat(r, starts) < np.maximum.reduceat(r, starts)) & (np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts))
     at = np.flatnonzero(many[group])
+    if not len(at):
+        return shared, stand
     shared[order[at]] = True
     # Of each the one of the smallest and the one of the largest document.
     for by, last in ((low, False), (high, True)):
