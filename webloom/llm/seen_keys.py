@@ -83,8 +83,11 @@ class SeenKeys:
 
     def _answer(self, flags: DataFrame, batch: int) -> None:
         """Write the answers of a micro-batch. flags: (digest, first_place) of the keys in it, as the state has them."""
+        at = f"{self.folder}/flags/batch={batch}"
+        # Written by itself: in one plan with the join, adaptive execution may cancel the state's part when the other is empty.
+        flags.where(F.col("first_place") > KNOWN).select(F.col("digest").alias("d"), "first_place").write.mode("overwrite").parquet(at)
+        firsts = self.spark.read.schema("d binary, first_place long").parquet(at)
         rows = self.spark.read.schema(_ARRIVALS).parquet(f"{self.folder}/feed/n{batch:09d}").where(F.col("place") > KNOWN)
-        firsts = flags.where(F.col("first_place") > KNOWN).select(F.col("digest").alias("d"), "first_place")
         joined = rows.join(firsts, (F.col("place") == F.col("first_place")) & (F.col("digest") == F.col("d")), "left")
         joined.select("place", F.col("first_place").isNull().alias("repeat")).write.mode("overwrite").parquet(f"{self.folder}/answers/batch={batch}")
 
