@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -39,11 +39,13 @@ FEWEST, FEWEST_ON_SITE, FEWEST_PAGES = 8, 8, 16
 FORM_HEAD, FORM_FOOT = 0.12, 0.88
 #: Share of a page's words in recurring pieces from which the page may be a near copy and counts by its longest one.
 NEAR_COPY = 0.5
+#: Containers below this importance are unimportant branches; how fast it passes from presentation to content with the number of children.
+UNIMPORTANT, DECAY = 0.3, 0.9
 #: Most keys that are sent to the executors; more are joined.
 MOST_BROADCAST = 1 << 20
 
 _TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
-_COLUMNS = "rep long, host string, lang string, sure boolean, words array<long>, share double, phrased double, doubted boolean, menus array<long>, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>"
+_COLUMNS = "rep long, host string, lang string, sure boolean, kin string, said array<long>, vocab array<long>, pages array<int>, share double, phrased double, doubted boolean, menus array<long>, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>, nodes array<long>, shapes array<long>"
 #: Columns of a page's line matrix, then those of spam.measure.
 _NO, _AT, _WORDS, _LINKED, _PIECES, _FLAGS, _FORM = range(7)
 _HEADLINE, _CRUMB, _DATED, _SHORT = 1, 2, 4, 8
@@ -74,7 +76,33 @@ def _flags(line: Line, title: str) -> int:
     return flags | _DATED * line.dated | _SHORT * (len(line.words) <= 6)
 
 
+_MASK = (1 << 64) - 1
+
+
+def _paths(page: Page, host: str) -> tuple[list[int], list[int]]:
+    """Of each container its place in the site's merged tree (host, and styles from the root down), and its style node: the sequence of its children."""
+    nodes: list[int] = []
+    root = _key("site", host) & _MASK
+    for parent, style in zip(page.parents, page.styles):
+        above = nodes[parent] if parent >= 0 else root
+        x = (above ^ above >> 29) * 0xBF58476D1CE4E5B9 + _style(style) & _MASK
+        nodes.append(x ^ x >> 32)
+    return nodes, [_key(*c) for c in page.children]
+
+
+@lru_cache(1 << 14)
+def _style(style: str) -> int:
+    return _key("style", style) & _MASK
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _COLUMNS.split(", ")]
+    vocabulary = spam.Vocabulary()
+    spill = lambda last: [(None, None, lang, None, None, [], keys, n, *[None] * (len(names) - 8)) for lang, keys, n in vocabulary.spilled(last)]
     for b in batches:
         rows = []
         for rep, host, text in zip(b["rep"], b["host"], b["page"]):
@@ -84,25 +112,35 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             outside = _outside(page)
             found = spam.menu_lines(page, outside)
             lang, sure, words, share, phrased, spamwise = spam.measure(page, outside, *found)
+            kin, said = "", []
+            if sure:
+                vocabulary.add(lang, words)
+            else:
+                kin, said = spam.kin(words, page.lang), spam.word_keys(line.words for line, count in zip(page.lines, spamwise[:, 3]) if count)
             menus = [_key(host, *line.words) for line, m in zip(page.lines, found[0]) if m]
             n = len(page.lines)
             matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
+            nodes, shapes = _paths(page, host) if with_pieces else ([], [])
+            own = []
             for i, line in enumerate(page.lines if with_pieces else ()):
-                pieces += [_key(s) for s in line.segments]
+                pieces += map(_key, line.segments)
                 weights += [s.count(" ") + 1 for s in line.segments]
-                on_site.append(_key(host, *line.segments))
+                on_site.append(_key(host, str(nodes[line.container]) if line.container >= 0 else "", *line.segments))
                 form = line.form != ""
                 if form:
                     forms.append(_key("form", line.form))
                     places.append(i / max(1, n - 1))
-                matrix[i] = line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form
+                own.append((line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form))
+            if own:
+                matrix[:] = own
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, sure, words, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places))
-        yield pd.DataFrame(rows, columns=["rep", "host", "lang", "sure", "words", "share", "phrased", "doubted", "menus", "lines", "tree", "pieces", "weights", "on_site", "forms", "places"])
+            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places, [*map(_signed, nodes)], shapes))
+        yield pd.DataFrame(rows + spill(False), columns=names)
+    yield pd.DataFrame(spill(True), columns=names)
 
 
-def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The distinct pages, parsed (see ``_COLUMNS``), and (crawl_id, rep) of the rows that hold them; both written once.
+def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct pages, parsed (see ``_COLUMNS``), the words of all languages, and (crawl_id, rep) of the rows that hold the pages.
 
     Copies of a page are combined before the shuffle and read once, under their smallest crawl_id.
     """
@@ -112,21 +150,34 @@ def read_pages(crawl: DataFrame, with_pieces: bool = True) -> tuple[DataFrame, D
     parsed = frozen(pages.select(F.col("first.crawl_id").alias("rep"), F.col("first.host").alias("host"), "page").mapInPandas(partial(_read, with_pieces=with_pieces), _COLUMNS), "pages")
     ids = rows.select("crawl_id", digest).distinct()
     reps = ids.groupBy(F.col("digest").alias("d")).agg(F.min("crawl_id").alias("rep"))
-    return parsed, ids.join(reps, F.col("digest") == F.col("d")).select("crawl_id", "rep")
+    members = ids.join(reps, F.col("digest") == F.col("d")).select("crawl_id", "rep")
+    return parsed.where("rep IS NOT NULL"), parsed.where("rep IS NULL").select("lang", "vocab", "pages"), members
 
 
-def with_site(parsed: DataFrame, *columns: str) -> DataFrame:
-    """These columns of the pages, after rep, menus, the language as all pages tell it, and which doubted menus recur on their site."""
-    told = frozen(spam.recognized(parsed.select("rep", "lang", "sure", "words")), "languages")
+def with_site(parsed: DataFrame, vocabulary: DataFrame, *columns: str) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """The pages with rep, lines, menus, the language as all pages tell it, which doubted menus recur on their site, and these columns; and what is calibrated per language."""
+    medians = spam.calibrated(parsed.where("sure").select("lang", "share", "phrased"))
+    told = frozen(spam.recognized(parsed.where("NOT sure").select("rep", F.array_remove(F.array_distinct("said"), 0).alias("words")), vocabulary), "languages").select("rep", F.col("lang").alias("told"))
     lines = parsed.where("host <> ''").select("rep", F.explode(F.array_distinct("menus")).alias("key"))
     often = lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= spam.MENU_PAGES).select("key")
     doubted = parsed.where("doubted").select("rep", F.explode(F.array_distinct("menus")).alias("key"))
     recurring = frozen(doubted.join(often, "key").groupBy("rep").agg(F.collect_list("key").alias("recurring")), "menus")
-    kept = parsed.select("rep", "lang", "sure", "doubted", "menus", *columns)
+    kept = parsed.select("rep", "lang", "sure", "doubted", "menus", "lines", *columns)
     none = F.array().cast("array<long>")
-    unsure = kept.where("NOT sure OR doubted").join(told.withColumnRenamed("lang", "told"), "rep", "left").join(recurring, "rep", "left")
+    unsure = kept.where("NOT sure OR doubted").join(told, "rep", "left").join(recurring, "rep", "left")
     unsure = unsure.withColumns({"lang": F.coalesce("told", "lang"), "recurring": F.coalesce("recurring", none)}).drop("told")
-    return kept.where("sure AND NOT doubted").withColumn("recurring", none).unionByName(unsure).drop("sure", "doubted")
+
+    # Pages of no listed language, by what their kin have in common.
+    unknown = parsed.where("NOT sure AND kin <> ''").join(told.where("told = 'und'"), "rep").select("rep", "kin", "said", "lines", "phrased")
+    function = spam.learned(unknown)
+    if function:
+        of = unknown.where(F.col("kin").isin(*function))
+        again = frozen(of.mapInPandas(spam.relearned(7, function), "rep long, lang string, share double, lines binary"), "relearned")
+        medians = {**spam.calibrated(again.select("rep", "lang", "share").join(of.select("rep", "phrased"), "rep")), **medians}
+        again = again.select(F.col("rep").alias("r"), F.col("lang").alias("l"), F.col("lines").alias("own"))
+        unsure = unsure.join(again, F.col("rep") == F.col("r"), "left").withColumns({"lang": F.coalesce("l", "lang"), "lines": F.coalesce("own", "lines")}).drop("r", "l", "own")
+    pages = kept.where("sure AND NOT doubted").withColumn("recurring", none).unionByName(unsure.select("rep", "lang", "sure", "doubted", "menus", "lines", *columns, "recurring"))
+    return pages.drop("sure", "doubted"), medians
 
 
 def _isin(keys: np.ndarray, dull: np.ndarray) -> np.ndarray:
@@ -135,28 +186,34 @@ def _isin(keys: np.ndarray, dull: np.ndarray) -> np.ndarray:
     return (place < len(dull)) & (dull[np.minimum(place, len(dull) - 1)] == keys) if len(dull) else np.zeros(len(keys), bool)
 
 
-def _marked(parsed: DataFrame, keys: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """The pages, and the sorted keys if they are few; else each page has its own of them in the column dull."""
-    if keys.count() <= MOST_BROADCAST:
-        return parsed, np.sort(np.array([r[0] for r in keys.toLocalIterator()], np.int64))
-    every = F.explode(F.array_distinct(F.concat("pieces", "on_site", "forms"))).alias("key")
-    own = parsed.select("rep", every).join(keys, "key").groupBy(F.col("rep").alias("r")).agg(F.collect_list("key").alias("dull"))
+Marks = tuple[np.ndarray, np.ndarray]
+
+
+def _marked(parsed: DataFrame, marks: DataFrame) -> tuple[DataFrame, Marks | None]:
+    """The pages, and the marks (key, value) in order of key if they are few; else each page has its own of them in the column marks."""
+    if marks.count() <= MOST_BROADCAST:
+        held = [(r[0], r[1]) for r in marks.select("key", "value").toLocalIterator()]
+        keys, values = np.array([k for k, _ in held], np.int64), np.array([v for _, v in held], np.float32)
+        return parsed, (keys[order := np.argsort(keys)], values[order])
+    every = F.explode(F.array_distinct(F.concat("pieces", "on_site", "forms", "nodes"))).alias("key")
+    own = parsed.select("rep", every).join(marks, "key").groupBy(F.col("rep").alias("r")).agg(F.collect_list(F.struct("key", "value")).alias("marks"))
     return parsed.join(own, F.col("rep") == F.col("r"), "left").drop("r"), None
 
 
-def _own_keys(b: pd.DataFrame, i: int, keys: np.ndarray | None) -> np.ndarray:
-    if keys is not None:
-        return keys
-    found = b["dull"].iloc[i]
-    return np.sort(np.asarray([] if found is None else found, np.int64))
+def _own_marks(b: pd.DataFrame, i: int, marks: Marks | None) -> Marks:
+    if marks is not None:
+        return marks
+    found = b["marks"].iloc[i]
+    pairs = sorted((r["key"], r["value"]) for r in found) if found is not None else []
+    return np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.float32)
 
 
-def _classes(keys: np.ndarray | None):
+def _classes(marks: Marks | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, (rep, host, lines, pieces, weights, on_site, forms) in enumerate(zip(b["rep"], b["host"], b["lines"], b["pieces"], b["weights"], b["on_site"], b["forms"])):
-                own = _own_keys(b, i, keys)
+                own, _ = _own_marks(b, i, marks)
                 pieces, weights = np.asarray(pieces, np.int64), np.frombuffer(weights, np.int32)
                 found, found_lines, found_forms = (_isin(c, own) for c in (pieces, on_site, forms))
                 matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
@@ -187,8 +244,8 @@ def unimportant(parsed: DataFrame) -> DataFrame:
     forms = forms.where((F.col("n") >= least) & ((F.col("place") <= FORM_HEAD) | (F.col("place") >= FORM_FOOT))).select("key", F.lit("").alias("host"))
     often = frozen(pieces.union(on_site).union(forms).groupBy("key").agg(F.max("host").alias("host")), "often")
 
-    pages, keys = _marked(parsed.select("rep", "host", "lines", "pieces", "weights", "on_site", "forms"), often.select("key"))
-    classes = frozen(pages.mapInPandas(_classes(keys), "host string, near boolean, class long, keys array<long>"), "classes")
+    pages, marks = _marked(parsed.select("rep", "host", "lines", "pieces", "weights", "on_site", "forms", "nodes"), often.select("key", F.lit(0.0).alias("value")))
+    classes = frozen(pages.mapInPandas(_classes(marks), "host string, near boolean, class long, keys array<long>"), "classes")
     by_class = F.count_distinct("near", "class")
     again = classes.select("near", "class", F.explode("keys").alias("key")).groupBy("key").agg(by_class.alias("n")).join(often, "key")
     sites = classes.where("host <> ''").groupBy(F.col("host").alias("h")).agg(by_class.alias("m"))
@@ -196,12 +253,45 @@ def unimportant(parsed: DataFrame) -> DataFrame:
     return again.join(sites, F.col("host") == F.col("h"), "left").where(F.when(F.col("host") == "", F.col("n") >= least).otherwise(F.col("n") > least_on_site - 1e-9)).select("key").distinct()
 
 
-def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull_pieces: np.ndarray, dull_lines: np.ndarray, dull_forms: np.ndarray) -> list[int]:
-    """Numbers of the lines of a page that are left when unimportant branches and lines are removed."""
+def presentation(parsed: DataFrame) -> DataFrame:
+    """(key, value) of the nodes of all sites' merged trees: their importance by the entropy of their style nodes, 0 if all pages show the same, 1 if no two do.
+
+    A node is a container's path; what it holds on a page, in order, is its style node. Nodes that too few pages have say nothing.
+    """
+    each = parsed.where("host <> ''").select(F.explode(F.arrays_zip("nodes", "shapes")).alias("e")).groupBy(F.col("e.nodes").alias("key"), F.col("e.shapes").alias("shape")).agg(F.count("*").alias("n"))
+    nodes = each.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s")).where(F.col("m") >= FEWEST_PAGES)
+    return nodes.select("key", (1 - F.col("s") / F.col("m") / F.log("m")).cast("float").alias("value"))
+
+
+def composite(parents: list[int], at: list[int], node: list[float], dull: list[bool]) -> list[float]:
+    """Of each container its importance together with what it holds.
+
+    node: the importance of its presentation, nan where the site says nothing. A container of l children has (1 - DECAY^l) of it and
+    DECAY^l of the mean of its children, a line being 0 if it is dull and 1 else; one whose presentation is unknown has that mean.
+    """
+    k = len(parents)
+    n, total = [0] * k, [0.0] * k
+    for c, d in zip(at, dull):
+        if c >= 0:
+            n[c] += 1
+            total[c] += not d
+    out = [0.0] * k
+    for c in range(k - 1, -1, -1):
+        mean = total[c] / n[c] if n[c] else 0.0
+        kept = DECAY ** n[c]
+        out[c] = mean if node[c] != node[c] else (1 - kept) * node[c] + kept * mean
+        if parents[c] >= 0:
+            n[parents[c]] += 1
+            total[parents[c]] += out[c]
+    return out
+
+
+def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull_pieces: np.ndarray, dull_lines: np.ndarray, dull_forms: np.ndarray, node: np.ndarray) -> list[int]:
+    """Numbers of the lines of a page that are left when unimportant branches and lines are removed. node: importance of each container's presentation."""
     n = len(lines)
     if not n:
         return []
-    words, at, flags = lines[:, _WORDS], lines[:, _AT], lines[:, _FLAGS]
+    words, at, flags = lines[:, _WORDS], lines[:, _AT].tolist(), lines[:, _FLAGS]
     of_line = np.repeat(np.arange(n), lines[:, _PIECES])
     dull_share = np.bincount(of_line, dull_pieces * weights, n) / np.maximum(1, np.bincount(of_line, weights, n))
     form = np.zeros(n, bool)
@@ -213,49 +303,61 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
     if not len(tree):
         return lines[~dull, _NO].tolist()
 
-    parents, k = tree[:, 0], len(tree)
-    inside = np.zeros((k + 1, n), bool)  # lines below each container; the last row is for none
-    for i in range(n):
-        c = at[i]
-        while c >= 0:
-            inside[c, i] = True
-            c = parents[c]
-    keep = np.where(headline & ~dull)[0]
-    total = words[~dull].sum()
+    # Containers are numbered as they open, so those below one, and the lines in it, stand together.
+    parents, k = tree[:, 0].tolist(), len(tree)
+    first, last = [n] * k, [0] * k
+    for i, c in enumerate(at):
+        if c >= 0:
+            first[c] = min(first[c], i)
+            last[c] = i + 1
+    for c in range(k - 1, -1, -1):
+        if (p := parents[c]) >= 0:
+            first[p], last[p] = min(first[p], first[c]), max(last[p], last[c])
+    keep = headline & ~dull
+    all_words, lively_words, kept = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (words, words * ~dull, keep))
+    total = lively_words[-1]
+    importance = composite(parents, at, node.tolist(), dull.tolist())
+    known, side, main = (~np.isnan(node)).tolist(), tree[:, 1].tolist(), tree[:, 2].tolist()
+    any_kept = kept[-1] > 0
     removed = np.zeros(n, bool)
     for c in range(k):
-        own = inside[c]
-        if not own.any():
+        a, b = first[c], last[c]
+        if a >= b or main[c] or kept[b] > kept[a]:
             continue
-        lively = words[own & ~dull].sum()
+        lively = lively_words[b] - lively_words[a]
         body = lively > 0.5 * total
-        if tree[c, 2] or len(keep) and own[keep].any():
-            continue
-        first = np.flatnonzero(own)[0]
-        heading = dull[first] and flags[first] & _SHORT and not flags[first] & (_DATED | _CRUMB) and lines[first, _LINKED] == 0
-        if tree[c, 1] and not body or heading and not (body and len(keep) == 0) or lively < 0.5 * words[own].sum() and not body:
-            removed |= own
+        heading = dull[a] and flags[a] & _SHORT and not flags[a] & (_DATED | _CRUMB) and lines[a, _LINKED] == 0
+        low = importance[c] < UNIMPORTANT if known[c] else side[c]
+        if (low or lively < 0.5 * (all_words[b] - all_words[a])) and not body or heading and not (body and not any_kept):
+            removed[a:b] = True
     # What lies outside the branch of the headline is no part of its article, if that branch holds most of the page.
-    if len(keep):
-        c = at[keep[-1]]
-        while c >= 0 and words[inside[c] & ~dull & ~removed].sum() <= 0.5 * words[~dull & ~removed].sum():
+    if any_kept:
+        left = np.concatenate([[0], np.cumsum(words * ~(dull | removed))]).tolist()
+        c = at[int(np.flatnonzero(keep)[-1])]
+        while c >= 0 and left[last[c]] - left[first[c]] <= 0.5 * left[-1]:
             c = parents[c]
         if c >= 0:
-            removed |= ~inside[c]
+            removed[: first[c]] = removed[last[c] :] = True
     return lines[~dull & ~removed, _NO].tolist()
 
 
-def _judge(medians: dict[str, float], dull_keys: np.ndarray | None):
+def _judge(medians: dict[str, tuple[float, float]], marks: Marks | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = []
-            for i, (lang, lines, tree, menus, recurring) in enumerate(zip(b["lang"], b["lines"], b["tree"], b["menus"], b["recurring"])):
+            columns = (b[c] for c in ("lang", "lines", "tree", "menus", "recurring", "weights", "pieces", "on_site", "forms", "nodes"))
+            for i, (lang, lines, tree, menus, recurring, weights, *keys, nodes) in enumerate(zip(*columns)):
                 matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
                 if spam.verdict(lang, spam.without_menus(matrix[:, 7:], menus, recurring), medians):
                     kept.append([])
                     continue
-                dull = _own_keys(b, i, dull_keys)
-                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(b["weights"].iloc[i], np.int32), *(_isin(b[c].iloc[i], dull) for c in ("pieces", "on_site", "forms"))))
+                own, values = _own_marks(b, i, marks)
+                dull = (_isin(c, own) for c in keys)
+                node = np.full(len(nodes), np.nan, np.float32)
+                if len(nodes):
+                    there = _isin(nodes, own)
+                    node[there] = values[np.searchsorted(own, np.asarray(nodes, np.int64)[there])]
+                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(weights, np.int32), *dull, node))
             yield pd.DataFrame({"rep": b["rep"], "line_nos": kept})
 
     return run
@@ -268,12 +370,11 @@ def main_lines(crawl: DataFrame) -> DataFrame:
     comes out once. Rows without a crawl_id are left out; a null url only means that the page belongs to no site.
     Other columns are not read.
     """
-    parsed, members = read_pages(crawl)
-    medians = spam.calibrated(parsed.select("lang", "sure", "share", "phrased"))
-    dull = frozen(unimportant(parsed), "dull")
-    pages = with_site(parsed, "lines", "tree", "pieces", "weights", "on_site", "forms")
-    pages, keys = _marked(pages, dull)
-    judged = pages.mapInPandas(_judge(medians, keys), "rep long, line_nos array<int>")
+    parsed, vocabulary, members = read_pages(crawl)
+    marks = frozen(unimportant(parsed).withColumn("value", F.lit(0.0).cast("float")).unionByName(presentation(parsed)), "marks")
+    pages, medians = with_site(parsed, vocabulary, "tree", "pieces", "weights", "on_site", "forms", "nodes")
+    pages, marks = _marked(pages, marks)
+    judged = pages.mapInPandas(_judge(medians, marks), "rep long, line_nos array<int>")
     return members.join(judged.where(F.size("line_nos") > 0), "rep").select("crawl_id", F.explode("line_nos").alias("line_no"))
 
 
@@ -283,8 +384,7 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
     Null and empty pages are none. Rows with equal pages are judged alike; a repeated row comes out once; rows without
     a crawl_id are left out. Other columns than crawl_id, url and page are not read.
     """
-    parsed, members = read_pages(crawl, with_pieces=False)
-    medians = spam.calibrated(parsed.select("lang", "sure", "share", "phrased"))
+    parsed, vocabulary, members = read_pages(crawl, with_pieces=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -297,5 +397,6 @@ def spam_rows(crawl: DataFrame) -> DataFrame:
                     got.append((rep, lang, bad / words))
             yield pd.DataFrame(got, columns=["rep", "lang", "spam_share"]).astype({"rep": "int64", "lang": "str", "spam_share": "float64"})
 
-    judged = with_site(parsed, "lines").mapInPandas(run, "rep long, lang string, spam_share double")
+    pages, medians = with_site(parsed, vocabulary)
+    judged = pages.mapInPandas(run, "rep long, lang string, spam_share double")
     return members.join(judged, "rep").select("crawl_id", "lang", "spam_share")

@@ -61,6 +61,8 @@ class Page:
     parents: list[int] = field(default_factory=list)
     styles: list[str] = field(default_factory=list)
     side: list[bool] = field(default_factory=list)
+    #: Of each container its children in order: the styles of containers, and of lines by the first tag on them.
+    children: list[list[str]] = field(default_factory=list)
 
 
 @lru_cache(1 << 14)
@@ -120,7 +122,7 @@ def parse(page: str, host: str = "") -> Page:
     for no, raw in enumerate(body.split("\n"), 1):
         if not raw or raw.isspace():
             continue
-        first_text = None
+        first_text = style = None
         if "<" in raw:
             last = 0
             for m in _TAG.finditer(raw):
@@ -136,13 +138,17 @@ def parse(page: str, host: str = "") -> Page:
                                 del stack[i:]
                                 break
                     else:
-                        style, side = _container(tag, attrs)
+                        own, side = _container(tag, attrs)
                         out.parents.append(stack[-1][1] if stack else -1)
-                        out.styles.append(style)
+                        if stack:
+                            out.children[stack[-1][1]].append(own)
+                        out.styles.append(own)
                         out.side.append(side)
+                        out.children.append([])
                         stack.append((tag, len(out.parents) - 1))
-                elif tag == "html" and not close:
-                    if found := _LANG.search(attrs):
+                elif style is None and not close:
+                    style = _container(tag, attrs)[0]
+                    if tag == "html" and (found := _LANG.search(attrs)):
                         out.lang = found.group(1).lower()
             if first_text is None:
                 first_text = stack[-1][1] if stack else -1
@@ -154,6 +160,8 @@ def parse(page: str, host: str = "") -> Page:
         words = _WORD.findall(text.casefold())
         if not words:
             continue
+        if at >= 0:
+            out.children[at].append(style or "")
         links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
         out.lines.append(Line(no, text, words, len(links), sum(links), at, bool(_DATE.search(text)), len(_SEPARATOR.findall(text)), segments(text, names), form(text, names) if len(words) <= FORM_WORDS else ""))
     return out

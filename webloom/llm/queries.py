@@ -18,6 +18,14 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of rows whose pages, and whose addresses, are linked by similarity."""
+    crawl, out = table(spark, root, "crawl"), []
+    for column in ("page", "url"):
+        out.append(near_dup.row_groups(*near_dup.crawl_similar(crawl, column)).withColumn("field_name", F.lit(column)))
+    return out[0].unionByName(out[1])
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the queue whose address was known before, as the keyed state answered them."""
     return seen_keys.repeats(table(spark, root, "queue"), [table(spark, root, name) for name in ("seed_url", "crawl")])
@@ -71,6 +79,7 @@ def p9_parts(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_wrong": p4_wrong,
     "p5_found": p5_found,

@@ -7,14 +7,20 @@ words a sentence must have is calibrated per language, from the distribution ove
 
 A page with hardly any function words may be keywords, or sentences of a language that has no list here. The words of
 the pages whose language is sure tell which: if they make up enough of the page's words, it is in their language and
-held to it; if not, its language stays unknown, and lines of unknown languages are not asked for function words.
+held to it. If not, it belongs with the pages that declare the same language or are written in the same script; the
+words that a good part of these have are their function words, from the corpus, and their median is calibrated in the
+same way. Where such pages are too few, and for undeclared ones in Latin letters, lines are not asked for function words.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -48,8 +54,10 @@ OF_TEXT, MENU_PAGES, MENU_WORDS = 0.5, 3, 60
 SHARE, LEAST_WORDS = 0.5, 12
 #: A page's language is sure from this share of its function words; else from this share of distinct words known from pages whose language is.
 SURE, KNOWN_WORDS = 0.1, 0.4
-#: The fewest pages that make a word known; most distinct words taken of a page whose language is sure, and of another.
-FEWEST_PAGES, TAKEN_SURE, TAKEN = 2, 16, 256
+#: The fewest pages that make a word known.
+FEWEST_PAGES = 2
+#: Words on this share of the pages of a language without a list are its function words, if it has so many pages.
+LEARNED_SHARE, FEWEST_LEARNED = 0.3, 30
 
 
 def language(words: Counter, declared: str = "") -> tuple[str, bool]:
@@ -64,13 +72,53 @@ def language(words: Counter, declared: str = "") -> tuple[str, bool]:
     return best if total and found[best] >= 0.03 * total else "und", bool(total) and sure
 
 
-def _taken(words: Counter, sure: bool) -> list[int]:
-    """Keys of distinct words, others on each page where not all are taken."""
-    keys = [h - (1 << 64) if (h := xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) >> 63 else h for w in words if not w.isdigit()]
-    if len(keys) > (most := TAKEN_SURE if sure else TAKEN):
-        salt = keys[0] ^ keys[-1] ^ len(keys)
-        keys = sorted(keys, key=lambda k: (k ^ salt) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)[:most]
-    return keys
+def word_key(word: str) -> int:
+    h = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+@lru_cache(1 << 12)
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "").partition(" ")[0].lower()
+
+
+def kin(words: Counter, declared: str) -> str:
+    """With which pages a page of no listed language belongs: those that declare the same one, else those in the same script unless that is Latin, else none."""
+    if declared and declared not in _SETS and len(declared) <= 3:
+        return declared
+    scripts: Counter = Counter()
+    for w, n in words.items():
+        if not w[0].isdigit():
+            scripts[_script(w[0])] += n
+    most = max(scripts, key=scripts.get, default="latin")
+    return "" if most == "latin" or declared in _SETS else most
+
+
+def word_keys(lines: Iterable[list[str]]) -> list[int]:
+    """Keys of all words in order, 0 for numbers."""
+    return [0 if w.isdigit() else word_key(w) for words in lines for w in words]
+
+
+class Vocabulary:
+    """In how many pages of each sure language words stand: a bounded table per task, whose parts add up."""
+
+    def __init__(self, most: int = 1 << 19) -> None:
+        self.pages: dict[str, Counter] = {}
+        self.most, self.size = most, 0
+
+    def add(self, lang: str, words: Iterable[str]) -> None:
+        own = self.pages.setdefault(lang, Counter())
+        before = len(own)
+        own.update(words)
+        self.size += len(own) - before
+
+    def spilled(self, last: bool = False) -> list[tuple[str, list[int], list[int]]]:
+        """(lang, keys of words, pages) and an empty table, if it is full or the last is told."""
+        if not last and self.size < self.most:
+            return []
+        out = [(lang, list(map(word_key, c)), list(c.values())) for lang, c in self.pages.items()]
+        self.pages, self.size = {}, 0
+        return out
 
 
 def is_menu(line: Line) -> bool:
@@ -120,8 +168,8 @@ def _phrased(lines: list[list[str]]) -> list[int]:
     return (before[ends[1:]] - before[ends[:-1]]).tolist()
 
 
-def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, doubted: bool = False) -> tuple[str, bool, list[int], float, float, np.ndarray]:
-    """Language, whether it is sure, keys of words, its share of function words, the share of words in repeats, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words, words in repeated runs.
+def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, doubted: bool = False) -> tuple[str, bool, Counter, float, float, np.ndarray]:
+    """Language, whether it is sure, words with their number, its share of function words, the share of words in repeats, and per line: function words per 1000 words, whether these are pooled, list-like for other reasons, words, stuffed words, words in repeated runs.
 
     outside: lines that are side matter by their place; they and menus count no words. menus, doubted: as
     ``menu_lines`` gives them; doubted menus count as lists, marked by 2. The words of lines around a
@@ -138,7 +186,7 @@ def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, do
     lang, sure = language(counts, page.lang)
     function = _SETS.get(lang, frozenset())
     rows = np.zeros((len(page.lines), 6), np.int32)
-    top = {w for w, n in counts.most_common(8) if w not in function and n >= 4 and n > STUFFED * total}
+    top = {w for w, n in counts.items() if n >= 4 and n > STUFFED * total and w not in function}
     seen: Counter = Counter(s for line, ok in zip(page.lines, inner) if ok for s in line.segments)
     phrased = _phrased([line.words for line, ok in zip(page.lines, inner) if ok])
     rows[inner, 5] = phrased
@@ -157,34 +205,74 @@ def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, do
     if around:
         rows[around, 0] = 1000 * pooled // max(1, pool)
     share = sum(counts[w] for w in counts.keys() & function) / total if total else 0.0
-    return lang, sure, _taken(counts, sure), share, sum(phrased) / max(1, total), rows
+    return lang, sure, counts, share, sum(phrased) / max(1, total), rows
 
 
 def calibrated(measured: DataFrame) -> dict[str, tuple[float, float]]:
     """Per language, over all its pages, the median share of function words, and from what share on words in repeats tell.
 
-    measured: (lang, sure, share, phrased); pages whose language isn't sure don't count. The latter is twice the median
+    measured: (lang, share, phrased). The latter is twice the median
     share of repeats, PHRASED at least and SHARE at most.
     """
     median = lambda c: F.percentile_approx(c, 0.5, 1000).alias(c)
-    rows = measured.where("sure").groupBy("lang").agg(median("share"), median("phrased")).collect()
+    rows = measured.groupBy("lang").agg(median("share"), median("phrased")).collect()
     return {r["lang"]: (r["share"], min(SHARE, max(PHRASED, 2 * r["phrased"]))) for r in rows}
 
 
-def recognized(measured: DataFrame) -> DataFrame:
+def recognized(unsure: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(rep, lang) of the pages whose language isn't sure: the one that knows the most of their words, und if it knows too few.
 
-    measured: (rep, lang, sure, words). A word belongs to the language in which most pages have it.
+    unsure: (rep, words), distinct; vocabulary: (lang, vocab, pages) as tasks spilled it. A word belongs to the language in which most pages have it.
     """
-    counted = measured.where("sure").select("lang", F.explode("words").alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    parts = vocabulary.select("lang", F.explode(F.arrays_zip("vocab", "pages")).alias("v")).select("lang", F.col("v.vocab").alias("word"), F.col("v.pages").alias("n"))
+    counted = parts.groupBy("word", "lang").agg(F.sum("n").alias("n"))
     known = counted.groupBy("word").agg(F.max_by("lang", F.struct("n", "lang")).alias("of"), F.max("n").alias("n")).where(F.col("n") >= FEWEST_PAGES).select("word", "of")
-    unsure = measured.where("NOT sure")
     own = unsure.select("rep", F.explode("words").alias("word")).join(known, "word").groupBy("rep", "of").agg(F.count("*").alias("n"))
     best = own.groupBy(F.col("rep").alias("r")).agg(F.max_by("of", F.struct("n", "of")).alias("of"), F.sum("n").alias("n"))
     enough = F.col("n") >= KNOWN_WORDS * F.size("words")
     return unsure.join(best, F.col("rep") == F.col("r"), "left").select("rep", F.when(enough, F.col("of")).otherwise("und").alias("lang"))
 
 
+def with_learned(lines: np.ndarray, said: np.ndarray, function: np.ndarray) -> tuple[np.ndarray, float]:
+    """Lines as ``measure`` gives them, with the shares of the function words with these keys, and their share in all. said: keys of the words of the lines that count, in order."""
+    lines = lines.copy()
+    n, tops = lines[:, 3], lines[:, 4]
+    ends = np.cumsum(n)
+    before = np.concatenate([[0], np.cumsum(np.isin(said, function))])
+    has = before[ends] - before[ends - n]
+    around = (lines[:, 1] > 0) & (n > 0)
+    lines[:, 0] = 1000 * has // np.maximum(1, n - tops)
+    if around.any():
+        lines[around, 0] = 1000 * has[around].sum() // max(1, int((n - tops)[around].sum()))
+    return lines, float(has.sum() / max(1, ends[-1])) if len(ends) else 0.0
+
+
+def learned(unknown: DataFrame) -> dict[str, np.ndarray]:
+    """Keys of the function words of each language or script that enough of the pages ``unknown`` (kin, said) share; few per language, as each is on a good part of its pages."""
+    pages = unknown.where("kin <> ''").groupBy("kin").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= FEWEST_LEARNED)
+    words = unknown.select("kin", F.explode(F.array_distinct("said")).alias("word")).where("word <> 0").groupBy("kin", "word").agg(F.count("*").alias("n"))
+    rows = words.join(F.broadcast(pages.withColumnRenamed("kin", "k")), F.col("kin") == F.col("k")).where(F.col("n") >= LEARNED_SHARE * F.col("n_pages")).select("kin", "word").collect()
+    out: dict[str, list[int]] = {}
+    for r in rows:
+        out.setdefault(r["kin"], []).append(r["word"])
+    return {k: np.array(v, np.int64) for k, v in out.items()}
+
+
+def relearned(columns: int, function: dict[str, np.ndarray]):
+    """Rows (rep, kin, said, lines) as (rep, lang, share, lines): by learned function words. columns: of a line before those of ``measure``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rep, kin_, said, lines in zip(b["rep"], b["kin"], b["said"], b["lines"]):
+                matrix = np.frombuffer(lines, np.int32).reshape(-1, columns + 6)
+                own, share = with_learned(matrix[:, columns:], np.asarray(said, np.int64), function[kin_])
+                out.append((rep, kin_, share, np.hstack([matrix[:, :columns], own]).astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["rep", "lang", "share", "lines"])
+
+    return run
+
+
 def spam_share(lang: str, lines: np.ndarray, medians: dict[str, tuple[float, float]]) -> tuple[int, int]:
     """Words that are stuffed or in lines that aren't sentences, and all words, of lines as ``measure`` gives them.
 
