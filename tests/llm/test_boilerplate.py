@@ -86,8 +86,9 @@ def test_segments_mask_names_and_numbers():
 
 
 def test_unknown_language_is_no_spam_by_itself():
-    rows = np.zeros((0, 5), np.int32)
-    assert not spam.verdict("und", rows, {})
+    text = "\n".join(f"<p>{x}.</p>" for x in FOREIGN["ru"].split(". "))
+    lang, lines = measured(text)
+    assert lang == "und" and lines[:, 3].sum() > 30 and not spam.verdict(lang, lines, {"en": (0.32, spam.PHRASED)})
 
 
 FOREIGN = {
@@ -106,6 +107,73 @@ def test_honest_pages_of_other_languages_are_no_spam(table, spark, lang):
     assert [r.line_no for r in boilerplate.main_lines(crawl).where("crawl_id = 500").orderBy("line_no").collect()] == [2, 3, 4]
 
 
+ENDINGS = {"pl": ("i", "w", "na", "z"), "sv": ("och", "i", "att", "som"), "tr": ("ve", "bir", "için", "bu"), "ru": ("и", "в", "не", "на"), "el": ("και", "το", "να", "του"), "ja": ("は", "の", "に", "を"), "hu": ("és", "az", "nem", "egy"), "fi": ("ja", "on", "ei", "se"), "cs": ("a", "na", "je", "se"), "uk": ("і", "у", "не", "з")}
+
+
+def foreign(rng, lang):
+    """Sentences of a made-up language with these function words, and letters of its own script."""
+    script = {"ru": "бвгдклмн", "uk": "бвгдклмн", "el": "βγδκλμνπ", "ja": "山川田中村木林"}.get(lang, "bdgklmnp")
+    word = lambda: "".join(rng.choice(script) + (rng.choice("aeio") if script[0] == "b" else "") for _ in range(3))
+    sentence = lambda: " ".join(rng.choice(ENDINGS[lang]) if i % 3 == 1 else word() for i in range(12)).capitalize() + "."
+    return word, sentence
+
+
+def test_ten_languages_without_lists(spark):
+    rng, rows, spams, honest = random.Random(11), [], set(), {}
+    for lang in ENDINGS:
+        word, said = foreign(rng, lang)
+        for i in range(45):
+            bad = i % 9 == 0
+            lines = [" ".join(word() for _ in range(12)) if bad else said() for _ in range(6)]
+            if i == 9:  # few words
+                lines = [" ".join(word() for _ in range(7))]
+            no = len(rows)
+            rows.append((no, f"http://{lang}{i}.test/", f"<html lang='{lang}'><body>\n" + "\n".join(f"<p>{x}</p>" for x in lines) + "\n</body></html>"))
+            spams |= {no} if bad else set()
+    code = "\n".join(f"<p>{x}</p>" for x in ["def f(x):", "return x + 1", "for i in range(9):", "print(f(i))", "x = [f(i) for i in y]"])
+    text = "".join(f"<p>{sentence(rng)}</p>\n" for _ in range(6))
+    rows += [(900 + i, "http://en.test/", f"<html lang='en'>\n{text}{code}</html>") for i in range(3)]
+    crawl = spark.createDataFrame(rows, "crawl_id long, url string, page string")
+    assert {r.crawl_id for r in boilerplate.spam_rows(crawl).collect()} == spams
+
+
+def test_small_pages():
+    medians = {"en": (0.32, spam.PHRASED)}
+    # The words of all pages tell its language.
+    assert spam.verdict("en", measured("<p>buy cheap red shoes</p>\n<p>shoes bags belts online discount</p>")[1], medians)
+    assert not spam.verdict(*measured("<html lang='en'><title>Silver harbour</title>\n<p>Home / reviews / Silver harbour</p>\n<h1>Silver harbour</h1>\n<p>Updated 6.7.2025 by Bragor</p></html>"), medians)
+
+
+def test_names_of_containers_are_not_needed(table, monkeypatch):
+    import re
+
+    from webloom.llm import pages
+
+    crawl, truth, _ = table
+    monkeypatch.setattr(pages, "SIDE_NAMES", re.compile(r"(?!)"))
+    assert {(r.crawl_id, r.line_no) for r in boilerplate.main_lines(crawl).collect()} == truth
+
+
+def test_presentation_and_branches(spark):
+    rng, rows = random.Random(2), []
+    for i in range(40):
+        body = "".join(f"<p>{sentence(rng)}</p>\n" for _ in range(rng.randint(3, 30)))
+        rows.append((i, f"http://one.test/{i}", f"<div class='a'>\n<div class='b'>\n<p>{sentence(rng)}</p>\n<p>{sentence(rng)}</p>\n</div>\n<div class='c'>\n{body}</div>\n</div>"))
+    parsed, _, _ = boilerplate.read_pages(spark.createDataFrame(rows, "crawl_id long, url string, page string"))
+    values = {r.key: r.value for r in boilerplate.presentation(parsed).collect()}
+    nodes = parsed.first()["nodes"]
+    assert values[nodes[1]] == 0 and values[nodes[2]] > 0.5 and len(values) == 3
+    nan = float("nan")
+    assert boilerplate.composite([-1, 0, 0], [1, 2, 2], [1.0, nan, 0.0], [True, False, False])[1:] == [0.0, boilerplate.DECAY**2]
+    # A branch that all pages show alike falls, though none of its lines is dull.
+    lines = np.zeros((26, 7), np.int32)
+    lines[:, 0], lines[:, 1], lines[:, 2] = range(26), [1] * 12 + [2] * 14, 10
+    tree = np.array([[-1, 0, 0], [0, 0, 0], [0, 0, 0]], np.int32)
+    none = np.zeros(0, bool)
+    left = lambda node: boilerplate.article_lines(lines, tree, np.zeros(0, np.int32), none, np.zeros(26, bool), none, np.array(node, np.float32))
+    assert left([0.9, nan, 0.9]) == list(range(26)) and left([0.9, 0.0, 0.9]) == list(range(12, 26))
+
+
 def test_near_copies_keep_their_article(spark):
     rng = random.Random(7)
     rows, truth = [], set()

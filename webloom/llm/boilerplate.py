@@ -15,7 +15,6 @@ Pages are read once. What is counted are 64-bit keys of pieces; only the keys of
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -31,8 +30,9 @@ from webloom.llm.pages import MAIN_TAGS, Line, Page, parse
 from webloom.operators.heavy_keys import host_of
 from webloom.session import frozen
 
-#: Pieces below these importances are boilerplate: over all pages, and within a site.
-ALL_SITES, ONE_SITE = 0.68, 0.4
+#: Pieces on this share of all pages are boilerplate everywhere, however many pages there are; and within a site those below this importance.
+ALL_SITES = 0.0008
+ONE_SITE = 0.4
 #: The fewest pages with a piece, over all sites and within one; the fewest pages of a site that says anything.
 FEWEST, FEWEST_ON_SITE, FEWEST_PAGES = 8, 8, 16
 #: Where in its page a line of a form that recurs must stand on average to be boilerplate.
@@ -234,7 +234,7 @@ def unimportant(parsed: DataFrame) -> DataFrame:
     Keys on enough pages are counted again, by classes of near copies instead of pages.
     """
     m = max(parsed.count(), 2)
-    least = max(FEWEST, math.exp((1 - ALL_SITES) * math.log(m)))
+    least = max(FEWEST, ALL_SITES * m)
     counted = F.count("*").alias("n")
     pieces = parsed.select(F.explode(F.array_distinct("pieces")).alias("key")).groupBy("key").agg(counted).where(F.col("n") >= least).select("key", F.lit("").alias("host"))
     sites = parsed.groupBy("host").agg(F.count("*").alias("m")).where(f"host <> '' AND m >= {FEWEST_PAGES}").withColumnRenamed("host", "h")

@@ -14,6 +14,7 @@ same way. Where such pages are too few, and for undeclared ones in Latin letters
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -49,9 +50,11 @@ RUN, REPEATED, ONCE_IN, PHRASED = 4, 4, 200, 0.2
 #: The least words in repeats for a page to count as one with repeats at all.
 LEAST_PHRASED = 12
 #: Lines that look like menus are doubted above this part of the words of the page's other text; then they are menus if so many pages of the site hold them, up to so many words.
-OF_TEXT, MENU_PAGES, MENU_WORDS = 0.5, 3, 60
+OF_TEXT, MENU_PAGES, MENU_WORDS, DOUBTED_WORDS = 0.5, 3, 60, 12
 #: A page is spam from this share of words that are stuffed or in such lines, and from so many of these words.
-SHARE, LEAST_WORDS = 0.5, 12
+SHARE, LEAST_WORDS = 0.5, 5
+#: So many lines that say the page's title, and lines of a date and up to so many words, need no function words.
+TITLE_LINES, DATED_WORDS = 2, 12
 #: A page's language is sure from this share of its function words; else from this share of distinct words known from pages whose language is.
 SURE, KNOWN_WORDS = 0.1, 0.4
 #: The fewest pages that make a word known.
@@ -132,7 +135,7 @@ def menu_lines(page: Page, outside: list[bool]) -> tuple[list[bool], bool]:
     menus = [not o and is_menu(line) for line, o in zip(page.lines, outside)]
     words = sum(len(line.words) for line, m in zip(page.lines, menus) if m)
     rest = sum(len(line.words) for line, m, o in zip(page.lines, menus, outside) if not (m or o))
-    return menus, words >= LEAST_WORDS and words > OF_TEXT * rest
+    return menus, words >= DOUBTED_WORDS and words > OF_TEXT * rest
 
 
 def without_menus(lines: np.ndarray, keys: np.ndarray, recurring: np.ndarray) -> np.ndarray:
@@ -204,6 +207,13 @@ def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, do
             pooled += has
     if around:
         rows[around, 0] = 1000 * pooled // max(1, pool)
+    title = frozenset(w for w in re.findall(r"[^\W_]+", page.title.casefold()))
+    left = TITLE_LINES
+    for i, line in enumerate(page.lines):
+        says = left > 0 and 0 < len(line.words) <= 2 * len(title) and 2 * sum(w in title for w in line.words) > len(line.words)
+        left -= says
+        if says or line.dated and len(line.words) <= DATED_WORDS:
+            rows[i, 0] = 1000
     share = sum(counts[w] for w in counts.keys() & function) / total if total else 0.0
     return lang, sure, counts, share, sum(phrased) / max(1, total), rows
 
