@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from webloom.operators import compaction
 from webloom.operators.compaction import consolidate, plan
 from webloom.operators.heavy_keys import crawl_keys, heavy
 from webloom.sources.store_format import encode, records
@@ -46,6 +48,33 @@ def test_consolidation_of_repeated_and_no_rows(spark):
     assert empty.surplus.count() == 0 and empty.counts.count() == 0
 
 
+def test_consolidation_beside_a_large_plan(spark, monkeypatch):
+    rows = [(i if i else None, "st"[i % 2], rec(f"k{i % 40}", url="u" * i)) for i in range(60)] + [(70, None, rec("k", url="u"))]
+    few = consolidate(files(spark, rows), 200)
+    monkeypatch.setattr(compaction, "MOST_BOUNDS", -1)
+    many = consolidate(files(spark, rows), 200)
+    kept = lambda c: sorted(map(str, c.output(spark).drop("digest", "record").collect()))
+    assert kept(few) == kept(many) and few.counts.agg(F.sum("files_written")).first()[0] > 10
+    assert sorted(map(str, few.counts.collect())) == sorted(map(str, many.counts.collect()))
+    planned = {(r.file_id, r.table_name): r.group_id for r in plan(files(spark, rows).select("file_id", "table_name", "n_bytes"), 200).collect()}
+    assert all(planned[r.file_id, r.table_name] == r.group_id for r in few.output(spark).collect())
+
+
+def test_losses_are_raised(spark, monkeypatch):
+    rows = [(i, "t", rec(f"k{i}", url="u")) for i in range(10)]
+    parse = compaction._parse
+
+    def withheld(bounds):
+        return lambda batches: parse(bounds)(b.slice(1) for b in batches)
+
+    monkeypatch.setattr(compaction, "_parse", withheld)
+    with pytest.raises(RuntimeError):
+        consolidate(files(spark, rows))
+    monkeypatch.setattr(compaction, "_parse", parse)
+    wrong = files(spark, rows).withColumn("n_bytes", F.when(F.col("file_id") > 7, F.col("n_bytes") + 1))
+    assert consolidate(wrong).counts.first().files_misstated == 10
+
+
 def test_plan_sums_across_blocks(spark):
     rows = [(i * 40_000, "t", 10) for i in range(20)] + [(None, "t", None), (3, "s", 7)]
     got = {(r.table_name, r.file_id): (r.start_byte, r.group_id) for r in plan(spark.createDataFrame(rows, "file_id long, table_name string, n_bytes long"), 25).collect()}

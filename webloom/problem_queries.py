@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import compaction, heavy_keys
+from webloom.session import frozen
 from webloom.sources.tables import table
 
 HEAVY_SHARE = 0.02
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Surplus copies of records, as left out by the consolidation."""
+    """Surplus copies of records: those that were read and are not in the consolidated files."""
     return compaction.consolidate(table(spark, root, "store_file")).surplus
 
 
@@ -22,13 +23,14 @@ def p1_plan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Reconciliation of a consolidation into outputs of 1 MiB: records read, distinct and written, per table."""
+    """Reconciliation of a consolidation into outputs of 1 MiB: what was listed, read, left out and written, per table."""
     return compaction.consolidate(table(spark, root, "store_file"), 1 << 20).counts
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Hosts and page contents that hold at least 2 percent of their column's rows."""
-    return heavy_keys.heavy(heavy_keys.crawl_keys(table(spark, root, "crawl")), HEAVY_SHARE).select("field_name", "key_value")
+    states = frozen(heavy_keys.crawl_keys(table(spark, root, "crawl")), "states")  # read twice, for the totals too
+    return heavy_keys.heavy(states, HEAVY_SHARE).select("field_name", "key_value")
 
 
 def p2_per_key(spark: SparkSession, root: str) -> DataFrame:
