@@ -67,7 +67,12 @@ BASE = "http://h.com:80/a/b/c.html"
         ("../../../x", BASE, None),
         ("#top", BASE, None),
         ("/z?q=1#f", "http://h.com:80/z?q=1", "http://h.com:80/z"),
-        ("https://o.org/p#f", "https://o.org:443/p#f", "https://o.org:443/p#f"),
+        ("https://o.org/p#f", "https://o.org:443/p#f", "https://o.org:443/p"),
+        ("HTTP://o.org:81/a/./b/../c?q#f", None, "http://o.org:81/a/c"),
+        ("https://o.org/i.png?x=1", "https://o.org:443/i.png?x=1", None),
+        ("x?file=i.png", "http://h.com:80/a/b/x?file=i.png", "http://h.com:80/a/b/x"),
+        ("https://o.org/I.PNG", "https://o.org:443/I.PNG", "https://o.org:443/I.PNG"),
+        ("https://o.org", "https://o.org:443/", "https://o.org:443/"),
         ("ftp://o.org/p", None, None),
         ("/i.png", "http://h.com:80/i.png", None),
         ("javascript:void(0)", None, None),
@@ -79,6 +84,11 @@ def test_links(spark, link, crawl, rank):
         assert one(spark, url.normalize_link_rank(F.lit(BASE), F.lit(link))) == rank
 
 
+def test_crawl_links_of_a_tag(spark):
+    page = """<a href="a b" href='one'>x</a><a class=x href="two" href="three">x</a><a href="{no}">x</a><a href=""><a id=1 href="two">"""
+    assert one(spark, url.extract_links_crawl(F.lit(page))) == ["one", "two", ""]
+
+
 @pytest.mark.parametrize("n, kept", [(9, 9), (10, 10), (11, 11), (12, 10)])
 def test_link_cap(spark, n, kept):
     assert one(spark, F.size(url.link_cap(F.array(*[F.lit(i) for i in range(n)])))) == kept
@@ -99,6 +109,8 @@ def test_robots(spark):
     assert rules == (["/private/open"], ["/private"], 2000.0)
     assert robots.parse("User-agent: *\nDisallow: /private\nUser-agent: search-crawler\nDisallow: /x\n") == ([], ["/x"], 1000.0)
     assert robots.parse(None) == ([], [], 1000.0)
+    assert robots.parse("user-agent: *\ndisallow: /x\nallow: /y\nallow:\nallow: /z\ncrawl-delay: x\n") == (["/y"], [], 1000.0)
+    assert robots.parse("user-agent: *\r\ndisallow: /x # no\r\ndisallow:\r\ndisallow: /y\r\nuser-agent: *\r\ndisallow: /z") == ([], ["/x"], 1000.0)
     parsed = robots.robots_parse(F.lit("User-agent: *\nDisallow: /private\nAllow: /private/open\n"))
     check = lambda code, path: one(spark, robots.robots_check(F.lit(code), parsed, F.lit(path)))
     assert (check("200", "/private/open"), check("200", "/x"), check("404", "/x")) == (False, True, False)
@@ -130,9 +142,11 @@ def test_search_golden(spark):
         search.query_words("  ")
 
 
-def test_pagerank_golden(spark):
+@pytest.mark.parametrize("hub_links", [100_000, 1, 0])
+def test_pagerank_golden(spark, monkeypatch, hub_links):
     from webloom.plans import rank
 
+    monkeypatch.setattr(rank, "HUB_LINKS", hub_links)
     nodes = spark.createDataFrame([(x,) for x in "ABCD"], "url string")
     edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "C"), ("C", "A")], "src string, dst string")
     got = {r.url: r["rank"] for r in rank.pagerank(nodes, edges, 3).collect()}
@@ -141,13 +155,21 @@ def test_pagerank_golden(spark):
     assert got == pytest.approx({"A": 1.163337, "B": 0.644456, "C": 1.192206, "D": 0.15}, abs=1e-6)
 
 
-def test_crawl_loop(spark):
-    from webloom.plans.crawl import crawl_loop
+def test_rank_that_does_not_settle(spark):
+    from webloom.plans import rank
+
+    nodes, edges = spark.createDataFrame([("A",), ("B",)], "url string"), spark.createDataFrame([("A", "B")], "src string, dst string")
+    with pytest.raises(rank.NotConverged):
+        rank.pagerank(nodes, edges, 1, 1e-9)
+
+
+def test_index_blocks_and_search_results(spark):
+    from webloom.plans import index, search
 
-    web = spark.createDataFrame(
-        [("http://a.test:80/", "200", "text/html", "9", '<a href="/b">b</a><a href="/c">c</a>', None), ("http://a.test:80/b", "200", "text/html", "9", '<a href="/d">d</a>', None), ("http://a.test:80/c", "301", "text/html", None, None, "/e"), ("http://a.test:80/e", "404", "text/html", None, None, None)],
-        "url string, response_code string, content_type string, length string, page string, location string",
-    )
-    seeds = spark.createDataFrame([("http://a.test",), (None,)], "url string")
-    got = crawl_loop(seeds, lambda todo: todo.join(web, "url"), 5)
-    assert sorted(r.url for r in got.collect()) == ["http://a.test:80/", "http://a.test:80/b", "http://a.test:80/c", "http://a.test:80/e"]
+    pages = spark.createDataFrame([(f"u{i}", "<title>T</title><p>cat</p>") for i in range(30)], "url string, page string")
+    blocks = index.index_blocks(index.page_words(pages), 7).where("word = 'cat'").collect()
+    assert len(blocks) > 1 and sorted(u for b in blocks for u in b.urls) == sorted(f"u{i}" for i in range(30))
+    scores = spark.createDataFrame([("gone", 9.0), ("u1", 2.0), ("u2", 3.0), ("u3", 1.0)], "url string, score double")
+    found = search.results(scores, pages, 1, 2)
+    assert sorted((r.url, r.title, r.snippet) for r in found.collect()) == [("u1", "T", "cat"), ("u3", "T", "cat")]
+    assert search.answer(found).index("u1") < search.answer(found).index("u3") and search.answer(found.limit(0)) == search.NO_MATCH

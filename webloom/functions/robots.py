@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,36 +17,29 @@ SCHEMA = T.StructType([T.StructField("allow", T.ArrayType(T.StringType())), T.St
 def parse(text: str | None, agent: str = AGENT) -> tuple[list[str], list[str], float]:
     """(allow, disallow, delay in ms) of the block for ``agent``, else of the block for ``*``; compared in lower case.
 
-    A block runs to the next user-agent line. An empty ``allow:`` ends all reading, an empty ``disallow:`` the reading
-    of disallow lines. Null and empty files have no rules.
+    A block runs to the next user-agent line; of blocks for one agent the first holds. Lines end at line feeds, and
+    may end in a carriage return. Allow lines are read first: an empty one ends all reading, so that no disallow line
+    holds; an empty disallow line ends the reading of those. Of several delays the last number holds. Null and empty
+    files have no rules.
     """
     blocks: dict[str, list[tuple[str, str]]] = {}
     current: list[tuple[str, str]] | None = None
-    for line in (text or "").lower().splitlines():
+    for line in (text or "").lower().split("\n"):
         name, colon, value = line.partition(":")
-        name, value = name.strip(), value.split("#")[0].strip()
+        name, value = name.strip(" \t\r"), value.split("#")[0].strip(" \t\r")
         if not colon:
             continue
         if name == "user-agent":
             current = blocks.setdefault(value, []) if value not in blocks else []
         elif current is not None:
             current.append((name, value))
-    allow, disallow, delay, open_ = [], [], DEFAULT_DELAY_MS, True
-    for name, value in blocks.get(agent, blocks.get("*", [])):
-        if name == "allow":
-            if not value:
-                break
-            allow.append(value)
-        elif name == "disallow":
-            open_ = open_ and bool(value)
-            if open_:
-                disallow.append(value)
-        elif name == "crawl-delay":
-            try:
-                delay = float(value) * 1000
-            except ValueError:
-                pass
-    return allow, disallow, delay
+    rules, delay = blocks.get(agent, blocks.get("*", [])), DEFAULT_DELAY_MS
+    listed = {kind: [value for name, value in rules if name == kind] for kind in ("allow", "disallow")}
+    allow, disallow = (values[: values.index("")] if "" in values else values for values in listed.values())
+    for name, value in rules:
+        if name == "crawl-delay" and re.fullmatch(r"[0-9]+\.?[0-9]*|\.[0-9]+", value):
+            delay = float(value) * 1000
+    return allow, [] if "" in listed["allow"] else disallow, delay
 
 
 @F.pandas_udf(SCHEMA)

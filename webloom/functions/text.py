@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The longest token in characters, the words of a snippet, and the patterns that say what of a page is text.
 MAX_TOKEN = 100
 SNIPPET_WORDS = 50
+_SCRIPT, _STYLE = r"(?s)<script.*?</script>", r"(?s)<style.*?</style>"
+_TAG, _PUNCTUATION = r"<[^>]*>", r"[^a-zA-Z0-9\s]"
 
 
 def strip_script_style(page: Column) -> Column:
     """The page without ``<script ...</script>`` and ``<style ...</style>``, in lower-case spelling only; null stays null."""
-    return F.regexp_replace(F.regexp_replace(page, r"(?s)<script.*?</script>", ""), r"(?s)<style.*?</style>", "")
+    return F.regexp_replace(F.regexp_replace(page, _SCRIPT, ""), _STYLE, "")
 
 
 def _bodies(page: Column, tag: str) -> Column:
@@ -31,7 +34,7 @@ def title_text(page: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Tags, then all but ASCII letters, digits and white space, as spaces; in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"[^a-zA-Z0-9\s]", " "))
+    return F.lower(F.regexp_replace(F.regexp_replace(text, _TAG, " "), _PUNCTUATION, " "))
 
 
 def tokenize(text: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINKS_FULL, LINKS_KEPT = 11, 10
-_REJECTED = r"(?i)\.(?:jpg|jpeg|gif|png|txt)$"
+#: The paths that the ranking leaves out, and how it finds links.
+_REJECTED = r"\.(jpg|jpeg|gif|png|txt)$"
+_RANK_LINK = r'(?i)<a\s+(?:[^>]*?\s+)?href="([^"]*)"'
 
 
 def _null_if_empty(c: Column) -> Column:
@@ -44,14 +46,15 @@ def normalize_seed_url(url: Column) -> Column:
 
 
 def extract_links_crawl(page: Column) -> Column:
-    """Distinct quoted targets of ``<a ... href=``, as the crawler takes them; none with braces."""
-    found = F.regexp_extract_all(page, F.lit("<a\\s+[^>]*href\\s*=\\s*(\"[^\"{}]*\"|'[^'{}]*')[^>]*>"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2)))
+    """Distinct quoted targets of ``<a ... href=``, as the crawler takes them: of each tag the first that holds no blanks; none with braces."""
+    found = F.regexp_extract_all(page, F.lit("<a\\s+[^>]*?href\\s*=(\"[^\">\\s]*\"|'[^'>\\s]*')[^>]*>"), F.lit(1))
+    targets = F.array_distinct(F.transform(found, lambda q: F.substring(q, F.lit(2), F.length(q) - 2)))
+    return F.filter(targets, lambda x: ~x.rlike("[{}]"))
 
 
 def extract_links_rank(page: Column) -> Column:
     """Targets in double quotes, in any case, with repeats; without blank ones and bare fragments."""
-    found = F.regexp_extract_all(page, F.lit(r'(?i)<a\s+(?:[^>]*?\s+)?href="([^"]*)"'), F.lit(1))
+    found = F.regexp_extract_all(page, F.lit(_RANK_LINK), F.lit(1))
     return F.filter(found, lambda x: ~x.startswith("#") & (F.trim(x) != ""))
 
 
@@ -108,12 +111,16 @@ def normalize_link_crawl(base: Column, link: Column) -> Column:
 
 
 def normalize_link_rank(base: Column, link: Column) -> Column:
-    """A link as the ranking takes it: http and https only, no images and plain texts, else null; relative ones without query and fragment."""
+    """A link as the ranking takes it: http and https only, without query and fragment, dots resolved, port written out; no images and plain texts, else null."""
     bare = F.regexp_replace(link, r"(?s)[?#].*$", "")
+    own = parse_url_parts(bare)
+    scheme = F.lower(own["protocol"])
+    own_site = F.when(own["host"].isNotNull(), F.concat(scheme, F.lit("://"), own["host"], F.lit(":"), F.coalesce(own["port"], _default_port(scheme))))
     site, joined = _resolve(base, bare)
-    climbed = F.when(joined.contains("./"), _climb(joined)).otherwise(joined)
-    target = F.when(_absolute(link), with_port(link)).when(~_foreign(link) & (bare != ""), F.concat(site, climbed))
-    return F.when(~bare.rlike(_REJECTED), target)
+    path = F.when(_absolute(link), own["path"]).otherwise(joined)
+    climbed = F.when(path.contains("/."), _climb(path)).otherwise(path)
+    target = F.when(_absolute(link), F.concat(own_site, climbed)).when(~_foreign(link) & (bare != ""), F.concat(site, climbed))
+    return F.when(~climbed.rlike(_REJECTED), target)
 
 
 def crawl_page_filter(url: Column, code: Column, content_type: Column) -> Column:

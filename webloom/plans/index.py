@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import text
 from webloom.functions.stem import stemmed
 from webloom.functions.url import crawl_page_filter
+from webloom.session import frozen
 
 #: TF of the rarest and of the most frequent word of a page.
 TF_BASE, TF_SPAN = 0.4, 0.6
@@ -30,6 +31,15 @@ def inverted_index(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.array_sort(F.collect_set("url")).alias("urls"))
 
 
+def index_blocks(words: DataFrame, most: int = 100_000) -> DataFrame:
+    """(word, block, urls): the same with the addresses of a word in blocks of about ``most``, by their hash, so that no row grows with the corpus."""
+    each = frozen(words.distinct(), "words")
+    often = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("word").alias("w"), F.ceil(F.col("n") / most).alias("blocks"))
+    number = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("long")
+    placed = each.join(often, F.col("word") == F.col("w"), "left").select("word", "url", (number % F.coalesce("blocks", F.lit(1))).alias("block"))
+    return placed.groupBy("word", "block").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+
+
 def postings(words: DataFrame) -> DataFrame:
     """(word, n_urls) without the lists, whose length has no bound."""
     return words.distinct().groupBy("word").agg(F.count("*").alias("n_urls"))
@@ -57,7 +67,7 @@ def idf(df: DataFrame, n_pages: int) -> DataFrame:
 
 def tfidf(pages: DataFrame, stem: bool = False) -> DataFrame:
     """(word, url, tf, idf, tfidf) of pages (url, page); pages without words count among all pages."""
-    tf = term_frequency(term_counts(page_words(pages, stem)))
+    tf = frozen(term_frequency(term_counts(page_words(pages, stem))), "tf")  # read twice, for the frequencies too
     weights = idf(doc_freq(tf), pages.count())
     return tf.join(weights, "word").select("word", "url", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.url import extract_links_rank, normalize_link_rank, with_port
-from webloom.session import frozen
+from webloom.session import bucketed, frozen, shuffle_partitions
 
 DAMPING, BASE = 0.85, 0.15
-#: With a threshold, rounds between writing the state out; those between are kept in memory.
-CUT_EVERY = 5
+#: The fewest links of a hub; and hubs have more than a part in so many times the partitions of all links, hence are at most so many.
+HUB_LINKS, HUB_PART = 100_000, 4
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
@@ -26,36 +26,52 @@ def initial(nodes: DataFrame) -> DataFrame:
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
-    """(src, dst, w): links from src to dst over all links of src; parallel links are one row."""
+    """(src, dst, w, d): links from src to dst over all links of src, which are d; parallel links are one row."""
     per_link = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
     degree = edges.groupBy("src").agg(F.count("*").alias("d")).withColumnRenamed("src", "s")
-    return per_link.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.col("k") / F.col("d")).alias("w"))
+    return per_link.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.col("k") / F.col("d")).alias("w"), "d")
 
 
-def step(state: DataFrame, weights: DataFrame) -> DataFrame:
-    """One round: rank = 0.15 + 0.85 times what flows in; prev is the rank before. Pages without links keep theirs to themselves, targets outside the pages get nothing."""
-    sent = weights.join(state.select(F.col("url").alias("src"), "rank"), "src").select("dst", (DAMPING * F.col("rank") * F.col("w")).alias("c"))
+def step(state: DataFrame, weights: DataFrame, of_hubs: DataFrame | None = None) -> DataFrame:
+    """One round: rank = 0.15 + 0.85 times what flows in; prev is the rank before. Pages without links keep theirs to themselves, targets outside the pages get nothing.
+
+    of_hubs: weights of sources with very many links, few sources; their ranks are sent to the weights.
+    """
+    ranks, flowing = state.select(F.col("url").alias("src"), "rank"), ["dst", (DAMPING * F.col("rank") * F.col("w")).alias("c")]
+    sent = weights.join(ranks, "src").select(*flowing)
+    if of_hubs is not None:
+        hubs = ranks.join(F.broadcast(of_hubs.select("src").distinct()), "src", "left_semi")
+        sent = sent.unionByName(of_hubs.join(F.broadcast(hubs), "src").select(*flowing))
     flow = sent.groupBy("dst").agg(F.sum("c").alias("inflow"))
     joined = state.join(flow, F.col("url") == F.col("dst"), "left")
     return joined.select("url", (F.lit(BASE) + F.coalesce("inflow", F.lit(0.0))).alias("rank"), F.col("rank").alias("prev"))
 
 
+class NotConverged(RuntimeError):
+    """Ranks still change by more than the threshold."""
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, threshold: float | None = None) -> DataFrame:
-    """(url, rank, prev) after ``rounds``, or as soon as no rank changes by more than ``threshold``."""
-    weights = frozen(out_degrees(edges), "weights")
-    state = frozen(initial(nodes), "ranks")
-    for i in range(1, rounds + 1):
-        before, state = state, step(state, weights)
-        if threshold is None or i % CUT_EVERY == 0:
-            # Each round reads its state twice; written out it is computed once, and a lost executor costs one round.
-            state = frozen(state, "ranks")
-        else:
-            state = state.persist()
+    """(url, rank, prev) after ``rounds``, or as soon as no rank changes by more than ``threshold``; with one, raises if that doesn't happen.
+
+    Weights lie in buckets of their source and ranks in buckets of their page, so a round shuffles what flows and nothing
+    else. Hubs would make one bucket large, so their links lie apart and their ranks, a few per partition, are broadcast.
+    """
+    n = shuffle_partitions(edges.sparkSession)
+    every = frozen(out_degrees(edges), "weights")
+    links = every.agg(F.coalesce(F.sum(F.col("w") * F.col("d")), F.lit(0.0))).first()[0]
+    least = max(HUB_LINKS, int(links) // (HUB_PART * n))
+    of_hubs = every.where(F.col("d") > least).select("src", "dst", "w")
+    of_hubs = None if of_hubs.isEmpty() else of_hubs
+    weights = bucketed(every.where(F.col("d") <= least).select("src", "dst", "w").repartition(n, "src"), "weights", "src", n)
+    state = bucketed(initial(nodes).repartition(n, "url"), "ranks", "url", n)
+    for _ in range(rounds):
+        state = bucketed(step(state, weights, of_hubs), "ranks", "url", n)
+        if threshold is not None and max_change(state) <= threshold:
+            break
+    else:
         if threshold is not None:
-            change = max_change(state)
-            before.unpersist()
-            if change <= threshold:
-                break
+            raise NotConverged(f"after {rounds} rounds")
     return state
 
 

@@ -50,6 +50,20 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As ``frozen``, in ``n`` buckets of ``key``, so that joins and groups by it need no shuffle in sessions of as many partitions.
+
+    The table's name is dropped again at once; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    own = f"{name}_{path[-32:]}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    spark.sql(f"DROP TABLE {own}")
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
