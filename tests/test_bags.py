@@ -16,6 +16,7 @@ def test_bag(spark):
     assert bag.count() == 3 and sorted(bag.distinct().collect()) == ["1", "2"]
     assert bag.intersection(Context(spark).parallelize(["2", "2", "3"])).collect() == ["2"]
     assert bag.fold("0", "sum") == "5" and Context(spark).parallelize([]).fold("0", "sum") == "0" and bag.fold("", "max") == "2"
+    assert bag.fold("3", "integer_sum") == "8" and Context(spark).parallelize(["9007199254740993", "x", "1.5"]).fold("0", "integer_max") == "9007199254740993" and bag.fold("0.5", "sum") == "5.5" and bag.fold("9", "max") == "9" and bag.fold("1", "count") == "4"
     assert len(bag.take(2)) == 2 and sorted(bag.filter(lambda v: v > "1").collect()) == ["2", "2"]
     assert sorted(bag.flat_map_python(lambda v: [v, None] if v == "1" else None).collect()) == ["1"]
     assert bag.fold_ordered("", lambda a, v: F.concat(a, v), lambda v: v) == "122"
@@ -57,9 +58,9 @@ def test_store(spark):
     base = spark.createDataFrame([("r", "c", "1", 1), ("r", "c", "2", 2), ("r", "d", "x", 1)], "row_key string, column string, value string, version long")
     latest = {(r.row_key, r.column): r.value for r in kv.upsert_latest(base).collect()}
     assert latest == {("r", "c"): "2", ("r", "d"): "x"}
-    puts = spark.createDataFrame([("r", "c", "2", "3"), ("r", "d", "y", "z"), ("s", "c", "1", "2")], "row_key string, column string, expected string, new string")
-    got = {(r.row_key, r.column): (r.value, r.status) for r in kv.conditional_put(kv.upsert_latest(base), puts).collect()}
-    assert got == {("r", "c"): ("3", "OK"), ("r", "d"): ("x", "FAIL"), ("s", "c"): (None, "FAIL")}
+    puts = spark.createDataFrame([("r", "c", 2, "3", "4"), ("r", "c", 1, "2", "3"), ("r", "c", 3, "3", "5"), ("r", "d", 1, "y", "z"), ("s", "c", 1, "1", "2")], "row_key string, column string, version int, expected string, new string")
+    got = {(r.row_key, r.column, r.version): (r.value, r.status) for r in kv.conditional_put(kv.upsert_latest(base), puts).collect()}
+    assert got == {("r", "c", 1): ("3", "OK"), ("r", "c", 2): ("4", "OK"), ("r", "c", 3): ("4", "FAIL"), ("r", "d", 1): ("x", "FAIL"), ("s", "c", 1): (None, "FAIL")}
     with pytest.raises(LookupError):
         kv.rename(spark, "no_such_table", "x")
     with pytest.raises(LookupError):

@@ -131,9 +131,11 @@ def rdd_count(spark, root):
     return _texts(spark, root).df.agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 10")
+@query("SELECT n_name AS value FROM nation")
 def rdd_take(spark, root):
-    return table(spark, root, "documents").where("text IS NOT NULL").orderBy("doc_id").limit(10).select("doc_id", "text")
+    """More elements asked for than there are: all of them come."""
+    taken = Bag(table(spark, root, "nation").select(F.col("n_name").alias("value"))).take(30)
+    return Context(spark).parallelize(taken).df
 
 
 @query("SELECT DISTINCT text AS value FROM documents WHERE text IS NOT NULL")
@@ -156,19 +158,19 @@ def sample_random(spark, root):
     return _texts(spark, root).sample(0.25, seed=7).df
 
 
-@query()
+@query("SELECT length(text)::VARCHAR AS value FROM documents WHERE text IS NOT NULL")
 def map_partitions(spark, root):
-    def shout(values: Iterator[str]) -> Iterator[str]:
+    def lengths(values: Iterator[str]) -> Iterator[str]:
         for v in values:
-            yield v.upper()
+            yield str(len(v))
 
-    return _texts(spark, root).map_partitions(shout).df
+    return _texts(spark, root).map_partitions(lengths).df
 
 
-@query("SELECT lower(lang) AS key, array_to_string(list_sort(list(doc_id::VARCHAR)), ',') AS value FROM documents GROUP BY lower(lang)")
+@query("SELECT n_regionkey::VARCHAR AS key, array_to_string(list_sort(list(n_name || '/' || n_regionkey)), ',') AS value FROM nation GROUP BY 1")
 def group_by_csv(spark, root):
-    documents = table(spark, root, "documents").select(F.lower("lang").alias("key"), F.col("doc_id").cast("string").alias("value"))
-    return PairBag(documents).fold_by_key("concat", ",")
+    nations = Bag(table(spark, root, "nation").select(F.concat("n_name", F.lit("/"), "n_regionkey").alias("value")))
+    return nations.group_by(lambda v: F.substring_index(v, "/", -1)).df
 
 
 @query("SELECT n_name AS value FROM nation JOIN customer ON n_nationkey = c_nationkey INTERSECT SELECT n_name FROM nation JOIN supplier ON n_nationkey = s_nationkey")
@@ -230,24 +232,33 @@ def pair_cogroup(spark, root):
     return bag("customer", "c_nationkey", "c_name").cogroup(bag("supplier", "s_nationkey", "s_name")).df
 
 
-@query("SELECT sum(l_linenumber)::BIGINT AS total FROM lineitem")
+def _column(spark: SparkSession, root: str, name: str, column: str) -> Bag:
+    return Bag(table(spark, root, name).select(F.col(column).cast("string").alias("value")))
+
+
+def _pair_columns(spark: SparkSession, root: str, name: str, key: str, value: str) -> PairBag:
+    return PairBag(table(spark, root, name).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value")))
+
+
+@query("SELECT 7 + sum(l_linenumber)::BIGINT AS total FROM lineitem")
 def fold_sum(spark, root):
-    return table(spark, root, "lineitem").agg(F.sum("l_linenumber").alias("total"))
+    return _column(spark, root, "lineitem", "l_linenumber").folded("7", "integer_sum").select(F.col("value").cast("long").alias("total"))
 
 
 @query("SELECT greatest(0.0::DOUBLE, max(l_extendedprice)) AS most FROM lineitem")
 def fold_max(spark, root):
-    return table(spark, root, "lineitem").agg(F.greatest(F.lit(0.0), F.max("l_extendedprice")).alias("most"))
+    return _column(spark, root, "lineitem", "l_extendedprice").folded("0", "max").select(F.col("value").alias("most"))
 
 
 @query("SELECT coalesce(max(abs(value)), 0.0::DOUBLE) AS most FROM events")
 def global_max(spark, root):
-    return table(spark, root, "events").agg(F.coalesce(F.max(F.abs("value")), F.lit(0.0)).alias("most"))
+    state = table(spark, root, "events").select(F.col("value").alias("rank"), F.lit(0.0).alias("prev"))
+    return spark.createDataFrame([(rank.max_change(state),)], "most double")
 
 
 @query("SELECT l_returnflag AS key, sum(l_linenumber)::BIGINT AS value FROM lineitem GROUP BY 1")
 def fold_by_key_sum(spark, root):
-    return table(spark, root, "lineitem").groupBy(F.col("l_returnflag").alias("key")).agg(F.sum("l_linenumber").alias("value"))
+    return _pair_columns(spark, root, "lineitem", "l_returnflag", "l_linenumber").fold_by_key("integer_sum").withColumn("value", F.col("value").cast("long"))
 
 
 @query("SELECT l_suppkey::VARCHAR AS key, round(sum(l_quantity), 4) AS value FROM lineitem GROUP BY 1")
@@ -258,7 +269,12 @@ def fold_by_key_sum_double(spark, root):
 
 @query("SELECT event_type AS key, greatest(0.0::DOUBLE, max(value)) AS value FROM events GROUP BY 1")
 def fold_by_key_max(spark, root):
-    return table(spark, root, "events").groupBy(F.col("event_type").alias("key")).agg(F.greatest(F.lit(0.0), F.max("value")).alias("value"))
+    return _pair_columns(spark, root, "events", "event_type", "value").fold_by_key("max", zero="0")
+
+
+@query("SELECT n_regionkey::VARCHAR AS key, '>' || array_to_string(list_sort(list(n_name)), '') AS value FROM nation GROUP BY 1")
+def fold_by_key_ordered(spark, root):
+    return _pair_columns(spark, root, "nation", "n_regionkey", "n_name").fold_by_key_ordered(">", lambda acc, v: F.concat(acc, v), lambda v: v)
 
 
 @query("SELECT o_custkey::VARCHAR AS key, array_to_string(list_sort(list(o_orderstatus)), ', ') AS value FROM orders GROUP BY 1")
@@ -280,8 +296,7 @@ def pair_save_grouped(spark, root):
 @query("SELECT text AS value FROM documents WHERE text IS NOT NULL")
 def save_as_table(spark, root):
     path = work_dir(spark, "saved-bag")
-    _texts(spark, root).df.write.parquet(path)
-    return spark.read.parquet(path)
+    return _texts(spark, root).save_as_table("bag_" + path[-32:], path=path).df
 
 
 # --- key-value store ------------------------------------------------------------------------------------------------
@@ -312,25 +327,47 @@ def kv_exists(spark, root):
     return kv.exists(table(spark, root, "seed_url"), table(spark, root, "crawl"), "url").select("seed_id", "url", "found")
 
 
+def _base_and_delta(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Every third put of the log is a later delta to the others."""
+    log = _log(spark, root)
+    later = F.col("version") % 3 == 0
+    return log.where(~later), log.where(later)
+
+
 @query(f"WITH {_S_LOG} SELECT row_key, \"column\", round(arg_max(v, version), 4) AS value, max(version) AS version FROM log GROUP BY ALL")
 def kv_upsert_latest(spark, root):
-    return kv.upsert_latest(_log(spark, root)).withColumn("value", F.col("value").cast("double"))
+    base, delta = _base_and_delta(spark, root)
+    return kv.upsert_latest(kv.upsert_latest(base), delta).withColumn("value", F.col("value").cast("double"))
 
 
 @query(f"WITH {_S_LOG} SELECT row_key, \"column\", round(v, 4) AS value, version FROM log QUALIFY version = max(version) OVER (PARTITION BY row_key)")
 def kv_put_row(spark, root):
-    log = _log(spark, root)
-    return kv.put_row(log, log.limit(0)).select("row_key", "column", F.col("value").cast("double").alias("value"), "version")
+    return kv.put_row(*_base_and_delta(spark, root)).select("row_key", "column", F.col("value").cast("double").alias("value"), "version")
 
 
-@query(f"""WITH {_S_LOG}, cur AS (SELECT row_key, "column", round(arg_max(v, version), 4) AS value FROM log GROUP BY ALL),
-puts AS (SELECT row_key, "column", round(max(v), 4) AS expected FROM log GROUP BY ALL)
-SELECT row_key, "column", CASE WHEN value = expected THEN 'top' ELSE 'kept' END AS value, CASE WHEN value = expected THEN 'OK' ELSE 'FAIL' END AS status FROM puts JOIN cur USING (row_key, "column")""")
+@query(f"""WITH {_S_LOG}, cells AS (SELECT row_key, "column", round(arg_max(v, version), 4) = round(max(v), 4) AS ok FROM log GROUP BY ALL)
+SELECT row_key, "column", version::BIGINT AS version, CASE WHEN NOT ok THEN 'kept' WHEN version = 1 THEN 'top' ELSE 'done' END AS value, CASE WHEN ok THEN 'OK' ELSE 'FAIL' END AS status FROM cells, (SELECT unnest([1, 2]) AS version)""")
 def kv_conditional_put(spark, root):
+    """Two puts on each cell: the second expects what the first leaves."""
     log = _log(spark, root)
-    puts = log.groupBy("row_key", "column").agg(F.max(F.col("value").cast("double")).cast("string").alias("expected"), F.lit("top").alias("new"))
+    most = F.max(F.col("value").cast("double")).cast("string")
+    first = log.groupBy("row_key", "column").agg(F.lit(1).alias("version"), most.alias("expected"), F.lit("top").alias("new"))
+    second = first.select("row_key", "column", F.lit(2).alias("version"), F.lit("top").alias("expected"), F.lit("done").alias("new"))
     current = kv.upsert_latest(log).withColumn("value", F.col("value").cast("double").cast("string"))
-    return kv.conditional_put(current, puts).withColumn("value", F.when(F.col("status") == "OK", F.col("value")).otherwise("kept"))
+    return kv.conditional_put(current, second.unionByName(first)).withColumn("value", F.when(F.col("status") == "OK", F.col("value")).otherwise("kept"))
+
+
+@query("SELECT unnest(['kept', 'renamed']) AS table_name")
+def kv_list_tables(spark, root):
+    """Three tables, of which one is renamed and one deleted."""
+    path = work_dir(spark, "tables")
+    tag = "t" + path[-32:] + "_"
+    nation = table(spark, root, "nation")
+    for name in ("kept", "old", "gone"):
+        nation.write.option("path", f"{path}/{name}").saveAsTable(tag + name)
+    kv.rename(spark, tag + "old", tag + "renamed")
+    kv.delete(spark, tag + "gone")
+    return spark.createDataFrame([(t.removeprefix(tag),) for t in kv.list_tables(spark) if t.startswith(tag)], "table_name string")
 
 
 @query(f"WITH {_S_LOG} SELECT row_key, version, row_number() OVER (PARTITION BY row_key ORDER BY version) AS row_version FROM log")
@@ -404,7 +441,7 @@ def normalize_seed_url(spark, root):
 
 
 _S_RANK_LINKS = r"""list_filter(regexp_extract_all(page, '(?i)<a\s+(?:[^>]*?\s+)?href="([^"]*)"', 1), lambda x: NOT starts_with(x, '#') AND trim(x) <> '')"""
-_S_CRAWL_LINKS = r"""regexp_extract_all(page, '<a\s+[^>]*href\s*=\s*("[^"{}]*"|''[^''{}]*'')[^>]*>', 1)"""
+_S_CRAWL_LINKS = r"""list_filter(regexp_extract_all(page, '<a\s+[^>]*?href\s*=("[^">\s]*"|''[^''>\s]*'')[^>]*>', 1), lambda q: NOT contains(q, '{') AND NOT contains(q, '}'))"""
 
 
 @query(f"WITH {_S_PAGES} SELECT url, unnest({_S_RANK_LINKS}) AS link FROM pages")
@@ -441,17 +478,44 @@ def normalize_link_crawl(spark, root):
     return links.withColumn("target", url.normalize_link_crawl(F.col("src"), F.col("link")))
 
 
-_S_REJECT = r"regexp_matches(regexp_replace(link, '[?#].*$', '', 's'), '(?i)\.(?:jpg|jpeg|gif|png|txt)$')"
-_S_RANK_TARGET = f"CASE WHEN {_S_REJECT} THEN NULL WHEN absolute THEN {_s_absolute('link')} ELSE site || regexp_replace(link, '[?#].*$', '', 's') END"
+# What the ranking makes of a link, step by step: the parts of what stands before ? and #, and the path with dots resolved
+# by taking out one pair of a folder and .. after the other. Paths of more than eight levels don't occur in the tables.
+def _s_undotted(x: str) -> str:
+    x = f"replace({x}, '/./', '/')"
+    for _ in range(8):
+        x = rf"regexp_replace({x}, '/[^/]+/\.\.(/|$)', '/')"
+    return x
+
+
+_S_RANK_STEPS = rf"""bared AS (SELECT src, link, regexp_replace(link, '[?#].*$', '', 's') AS bare, regexp_matches(link, '^[Hh][Tt][Tt][Pp][Ss]?://') AS absolute, regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') AS schemed FROM linked WHERE src IS NOT NULL),
+split AS (SELECT src, link, schemed AND NOT absolute OR bare = '' AS dropped,
+  CASE WHEN absolute THEN lower(split_part(bare, '://', 1)) ELSE split_part(src, '://', 1) END AS scheme,
+  CASE WHEN absolute THEN split_part(split_part(bare, '://', 2), '/', 1) ELSE split_part(split_part(src, '://', 2), '/', 1) END AS server,
+  CASE WHEN absolute THEN coalesce(nullif(regexp_replace(bare, '^[A-Za-z]+://[^/]*', ''), ''), '/') WHEN starts_with(bare, '/') THEN bare
+       ELSE regexp_extract(regexp_replace(regexp_replace(src, '^[a-z]+://[^/]*', ''), '[?#].*$', '', 's'), '^(.*/)', 1, 's') || bare END AS path FROM bared),
+ranked_links AS (SELECT src, link, CASE WHEN NOT dropped AND split_part(server, ':', 1) <> '' AND NOT regexp_matches(resolved, '\.(jpg|jpeg|gif|png|txt)$') AND NOT starts_with(resolved, '/../') AND resolved <> '/..' THEN
+  scheme || '://' || split_part(server, ':', 1) || ':' || coalesce(nullif(split_part(server, ':', 2), ''), CASE scheme WHEN 'https' THEN '443' ELSE '80' END) || resolved END AS target
+  FROM (SELECT *, {_s_undotted('path')} AS resolved FROM split))"""
+_S_QUEUE_LINKED = "linked AS (SELECT 'http://holmiston.example:80/a/b/c.html' AS src, trim(url, ' ' || chr(9)) AS link FROM queue WHERE url IS NOT NULL)"
 
 
-@query(f"WITH {_s_links(_S_RANK_LINKS)} SELECT src, link, {_S_RANK_TARGET} AS target FROM base")
+def _queue_links(spark: SparkSession, root: str) -> DataFrame:
+    """The queue's addresses as links on one page: relative ones, dots, queries and fragments are among them."""
+    return table(spark, root, "queue").where("url IS NOT NULL").select(F.lit("http://holmiston.example:80/a/b/c.html").alias("src"), F.btrim("url", F.lit(" \t")).alias("link"))
+
+
+@query(f"WITH {_S_PAGES}, given AS (SELECT url, page FROM pages), {_S_PARTS}, linked AS (SELECT {_S_WITH_PORT} AS src, unnest({_S_RANK_LINKS}) AS link FROM parts), {_S_RANK_STEPS} SELECT * FROM ranked_links")
 def normalize_link_rank(spark, root):
     links = _pages(spark, root).select(url.with_port(F.col("url")).alias("src"), F.explode(url.extract_links_rank(F.col("page"))).alias("link")).where("src IS NOT NULL")
     return links.withColumn("target", url.normalize_link_rank(F.col("src"), F.col("link")))
 
 
-@query(f"WITH {_s_links(_S_RANK_LINKS)}, t AS (SELECT src, {_S_RANK_TARGET} AS dst FROM base) SELECT src, dst, count(*)::BIGINT AS n FROM t WHERE dst IS NOT NULL GROUP BY ALL")
+@query(f"WITH {_S_QUEUE_LINKED}, {_S_RANK_STEPS} SELECT * FROM ranked_links")
+def normalize_queue_rank(spark, root):
+    return _queue_links(spark, root).withColumn("target", url.normalize_link_rank(F.col("src"), F.col("link")))
+
+
+@query(f"WITH {_S_PAGES}, given AS (SELECT url, page FROM pages), {_S_PARTS}, linked AS (SELECT {_S_WITH_PORT} AS src, unnest({_S_RANK_LINKS}) AS link FROM parts), {_S_RANK_STEPS} SELECT src, target AS dst, count(*)::BIGINT AS n FROM ranked_links WHERE target IS NOT NULL GROUP BY ALL")
 def link_graph(spark, root):
     return rank.link_graph(_pages(spark, root)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -501,18 +565,35 @@ def crawl_delay_gate(spark, root):
     return crawling.delay_gate(frontier, "queue_id")
 
 
-@query()
+_S_RULES = r"""hosts AS (SELECT row_number() OVER () AS rid, * FROM host),
+robot_lines AS (SELECT rid, generate_subscripts(string_split(lower(robots_text), chr(10)), 1) AS n, unnest(string_split(lower(robots_text), chr(10))) AS line FROM hosts WHERE robots_text IS NOT NULL),
+robot_kv AS (SELECT rid, n, trim(split_part(line, ':', 1), ' ' || chr(9) || chr(13)) AS name, trim(split_part(substr(line, strpos(line, ':') + 1), '#', 1), ' ' || chr(9) || chr(13)) AS val FROM robot_lines WHERE contains(line, ':')),
+robot_blocks AS (SELECT *, count(*) FILTER (name = 'user-agent') OVER (PARTITION BY rid ORDER BY n) AS block FROM robot_kv),
+robot_heads AS (SELECT rid, val AS agent, min(block) AS block FROM robot_blocks WHERE name = 'user-agent' GROUP BY ALL),
+robot_chosen AS (SELECT rid, coalesce(max(block) FILTER (agent = 'search-crawler'), max(block) FILTER (agent = '*')) AS block FROM robot_heads GROUP BY rid),
+robot_rules AS (SELECT b.rid, n, name, val, min(n) FILTER (val = '' AND name = 'allow') OVER (PARTITION BY b.rid) AS no_allow, min(n) FILTER (val = '' AND name = 'disallow') OVER (PARTITION BY b.rid) AS no_disallow FROM robot_blocks b JOIN robot_chosen c ON b.rid = c.rid AND b.block = c.block WHERE name <> 'user-agent'),
+robots AS (SELECT h.rid, h.host_hash, h.host_url, h.response_code, h.time_stamp, h.robots_text,
+  coalesce(list(val ORDER BY n) FILTER (name = 'allow' AND (no_allow IS NULL OR n < no_allow)), []) AS allow,
+  coalesce(list(val ORDER BY n) FILTER (name = 'disallow' AND no_allow IS NULL AND (no_disallow IS NULL OR n < no_disallow)), []) AS disallow,
+  coalesce(arg_max(val::DOUBLE * 1000, n) FILTER (name = 'crawl-delay' AND regexp_full_match(val, '[0-9]+\.?[0-9]*|\.[0-9]+')), 1000.0::DOUBLE) AS delay
+  FROM hosts h LEFT JOIN robot_rules r ON h.rid = r.rid GROUP BY ALL)"""
+_S_ALLOWED = rf"""{_S_RULES}, newest AS (SELECT * FROM (SELECT *, regexp_replace(lower(host_url), '\.$', '') AS h, row_number() OVER (PARTITION BY regexp_replace(lower(host_url), '\.$', '') ORDER BY time_stamp DESC NULLS LAST, response_code DESC NULLS LAST, robots_text DESC NULLS LAST) AS rn FROM robots WHERE host_url IS NOT NULL) WHERE rn = 1),
+checked AS (SELECT f.url, {_S_HOST} AS host, CASE WHEN contains(f.url, '://') AND regexp_matches(f.url, '^[^:/?#]+://') THEN coalesce(nullif(regexp_extract(f.url, {_S_SHAPE}, 4, 's'), ''), '/') ELSE f.url END AS path FROM frontier f),
+allowed AS (SELECT c.url, c.host FROM checked c JOIN newest r ON c.host = r.h WHERE r.response_code = '200' AND len(list_filter(r.disallow, lambda p: starts_with(lower(c.path), p))) = 0)"""
+
+
+@query(f"WITH {_S_RULES} SELECT host_hash, coalesce(array_to_string(allow, ','), '') AS allow, coalesce(array_to_string(disallow, ','), '') AS disallow, delay AS crawl_delay_ms FROM robots")
 def robots_parse(spark, root):
     parsed = table(spark, root, "host").select("host_hash", robots.robots_parse(F.col("robots_text")).alias("r"))
     return parsed.select("host_hash", F.array_join("r.allow", ",").alias("allow"), F.array_join("r.disallow", ",").alias("disallow"), F.col("r.crawl_delay_ms").alias("crawl_delay_ms"))
 
 
-@query()
+@query(f"WITH frontier AS (SELECT url FROM queue), {_S_ALLOWED} SELECT url, host FROM allowed")
 def robots_check(spark, root):
     return crawling.allowed(table(spark, root, "queue").select("queue_id", "url"), table(spark, root, "host"))
 
 
-@query()
+@query(f"WITH frontier AS (SELECT DISTINCT url FROM queue WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM crawl WHERE url IS NOT NULL)), {_S_ALLOWED} SELECT host, min(url) AS url FROM allowed GROUP BY host")
 def crawl_frontier_round(spark, root):
     """One round over the queue: unseen, allowed by robots, the first of each host."""
     crawl, queue = table(spark, root, "crawl"), table(spark, root, "queue")
@@ -520,6 +601,15 @@ def crawl_frontier_round(spark, root):
     return due.where("due").select("host", "url")
 
 
+@query()
+def crawl_loop(spark, root):
+    """Three rounds from the seeds and the queue's addresses over the stored crawl as an offline web."""
+    crawl = table(spark, root, "crawl")
+    seeds = table(spark, root, "seed_url").select("url").unionByName(table(spark, root, "queue").select("url"))
+    head, get = crawling.offline(crawl)
+    return crawling.crawl_loop(seeds, table(spark, root, "host"), head, get, 3).select("url", "response_code", "content_type", F.length("page").alias("page_chars"))
+
+
 # --- index, ranks and search ----------------------------------------------------------------------------------------
 
 
@@ -528,6 +618,14 @@ def inverted_index(spark, root):
     return index.inverted_index(index.page_words(_pages(spark, root))).select("word", F.array_join("urls", ",").alias("urls"))
 
 
+@query(f"""WITH {_S_WORDS}, d AS (SELECT DISTINCT word, url FROM words), s AS (SELECT word, url, (count(*) OVER (PARTITION BY word) + 63) // 64 AS blocks FROM d)
+SELECT word, (('0x' || substr(md5(url), 1, 8))::BIGINT % blocks)::BIGINT AS block, array_to_string(list_sort(list(url)), ',') AS urls FROM s GROUP BY ALL""")
+def index_blocks(spark, root):
+    """The index with a word's addresses in blocks of about 64."""
+    blocks = index.index_blocks(index.page_words(_pages(spark, root)), 64)
+    return blocks.select("word", "block", F.array_join("urls", ",").alias("urls"))
+
+
 @query(f"WITH {_S_WORDS} SELECT word, count(DISTINCT url)::BIGINT AS n_urls FROM words GROUP BY word ORDER BY n_urls DESC, word LIMIT 15")
 def top_words(spark, root):
     return index.postings(index.page_words(_pages(spark, root))).orderBy(F.desc("n_urls"), "word").limit(15)
@@ -625,6 +723,17 @@ def search_ranked_per_url(spark, root):
     return _searched(spark, root, True).withColumn("score", F.round("score", 6))
 
 
+_S_TITLE = r"coalesce(regexp_replace(list_extract(regexp_extract_all(page, '(?s)<title>(.*?)</title>', 1), 1), '^\s+|\s+$', '', 'g'), 'No title')"
+_S_SNIPPET = rf"coalesce(array_to_string(list_slice(flatten(list_transform({_s_bodies('page', 'p')}, lambda b: list_filter(regexp_split_to_array(regexp_replace(b, '(?s)<.*?>', '', 'g'), '\s+'), lambda t: t <> ''))), 1, 50), ' '), '')"
+
+
+@query(f"WITH {_S_RANKED} SELECT url, round(score, 6) AS score, {_S_TITLE} AS title, {_S_SNIPPET} AS snippet FROM result JOIN pages USING (url) WHERE starts_with(url, 'https') ORDER BY round(score, 6) DESC, url LIMIT 15 OFFSET 3")
+def search_results(spark, root):
+    """A page of results with titles and snippets, where only the https pages are stored."""
+    scores = _searched(spark, root, False).withColumn("score", F.round("score", 6))
+    return search.results(scores, _pages(spark, root).where(F.col("url").startswith("https")), 3)
+
+
 @query(f"WITH {_S_RANKED} SELECT url, round(score, 6) AS score FROM result ORDER BY round(score, 6) DESC, url LIMIT 15 OFFSET 5")
 def search_page(spark, root):
     return search.page_of(_searched(spark, root, False).withColumn("score", F.round("score", 6)), 5)

@@ -39,9 +39,10 @@ class _Handle:
         self._df = self.df.cache()
         return self
 
-    def save_as_table(self, name: str, mode: str = "errorifexists"):
-        """Write the bag as a table; the bag reads from it then. An existing table is an error unless mode says overwrite."""
-        self.df.write.mode(mode).saveAsTable(name)
+    def save_as_table(self, name: str, mode: str = "errorifexists", path: str | None = None):
+        """Write the bag as a table, at ``path`` if given; the bag reads from it then. An existing table is an error unless mode says overwrite."""
+        writer = self.df.write.mode(mode)
+        (writer.option("path", path) if path else writer).saveAsTable(name)
         self._df, self.table = self.df.sparkSession.table(name), name
         return self
 
@@ -122,10 +123,14 @@ class Bag(_Handle):
         """(key, members joined by commas in order)."""
         return PairBag(self.df.groupBy(key(F.col("value")).alias("key")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value")))
 
+    def folded(self, zero: str, how: str) -> DataFrame:
+        """One row, (value): a named fold over all elements, starting from ``zero``; see ``_named``. zero for an empty bag."""
+        return self.df.agg(_folded(how, F.col("value"), zero).alias("value"))
+
     def fold(self, zero: str, how: str) -> str:
-        """A named fold over all elements: sum, max, min or count of numbers, each starting from ``zero``; zero for an empty bag."""
-        got = self.df.agg(_named(how, F.col("value")).alias("x")).first()["x"]
-        return zero if got is None else _finish(how, zero, got)
+        """The same as a string; a whole number has no decimals."""
+        got = self.folded(zero, how).first()["value"]
+        return str(int(got)) if got == got.__class__(int(got)) else str(got)
 
     def fold_ordered(self, zero: str, f: Callable[[Column, Column], Column], order: Callable[[Column], Column]) -> str:
         """A fold by any expression needs an order to be defined; all elements meet in one task, so this is for small bags."""
@@ -134,14 +139,20 @@ class Bag(_Handle):
 
 
 def _named(how: str, value: Column) -> Column:
-    number = F.try_to_number(value, F.lit("S999999999999")) if how == "integers" else value.try_cast("double")
-    return {"sum": F.sum(number), "max": F.max(number), "min": F.min(number), "count": F.count(value)}[how]
+    """sum, max, min or count of numbers; integer_sum, integer_max, integer_min of whole ones, exact up to 38 digits. What is no such number is left out."""
+    if how == "count":
+        return F.count(value)
+    number = value.try_cast("decimal(38,0)") if how.startswith("integer_") else value.try_cast("double")
+    return {"sum": F.sum, "max": F.max, "min": F.min}[how.removeprefix("integer_")](number)
 
 
-def _finish(how: str, zero: str, got: float) -> str:
-    start = float(zero) if zero else 0.0
-    out = {"sum": start + got, "max": max(start, got), "min": min(start, got), "count": start + got}[how]
-    return str(int(out)) if float(out).is_integer() else str(out)
+def _folded(how: str, value: Column, zero: str) -> Column:
+    """A named fold that starts from ``zero`` (empty: 0)."""
+    got, start = _named(how, value), F.lit(zero or "0").cast("decimal(38,0)" if how.startswith("integer_") else "double")
+    kind = how.removeprefix("integer_")
+    if kind in ("sum", "count"):
+        return start + F.coalesce(got, F.lit(0))
+    return F.greatest(start, got) if kind == "max" else F.least(start, got)
 
 
 class PairBag(_Handle):
@@ -169,8 +180,8 @@ class PairBag(_Handle):
         text = F.concat(F.lit("["), F.array_join(F.coalesce("x", none), ","), F.lit("],["), F.array_join(F.coalesce("y", none), ","), F.lit("]"))
         return PairBag(both.select("key", text.alias("value")))
 
-    def fold_by_key(self, how: str, separator: str = ", ") -> DataFrame:
-        """(key, value) by a named fold: sum, max, min, count, concat (in order) or distinct_concat.
+    def fold_by_key(self, how: str, separator: str = ", ", zero: str | None = None) -> DataFrame:
+        """(key, value) by a named fold: as for bags, from ``zero`` if given, or concat (in order) or distinct_concat.
 
         The numeric ones are combined before the shuffle; strings that aren't numbers are left out of them.
         """
@@ -180,9 +191,14 @@ class PairBag(_Handle):
         elif how == "distinct_concat":
             folded = F.array_join(F.array_sort(F.collect_set(value)), separator)
         else:
-            folded = _named(how, value)
+            folded = _named(how, value) if zero is None else _folded(how, value, zero)
         return self.df.groupBy("key").agg(folded.alias("value"))
 
+    def fold_by_key_ordered(self, zero: str, f: Callable[[Column, Column], Column], order: Callable[[Column], Column]) -> DataFrame:
+        """(key, value) by a fold of any expression, in ``order``; a key's values meet in one row, so this is for keys of few values."""
+        listed = self.df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(order(F.col("value")).alias("o"), F.col("value").alias("v")))).alias("vs"))
+        return listed.select("key", F.aggregate("vs", F.lit(zero), lambda acc, x: f(acc, x["v"])).alias("value"))
+
     def grouped(self) -> DataFrame:
         """A row per key with all its values."""
         return self.df.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"))

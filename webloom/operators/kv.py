@@ -44,13 +44,23 @@ def put_row(base: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def conditional_put(current: DataFrame, puts: DataFrame) -> DataFrame:
-    """Compare and set: ``puts`` (row_key, column, expected, new) against ``current``; (row_key, column, value, status).
+    """Compare and set: ``puts`` (row_key, column, version, expected, new) against ``current``; (row_key, column, version, value, status).
 
-    The new value holds where the current one equals the expected; a missing cell or another value gives FAIL.
+    A put succeeds where the cell's value equals the expected one, and later puts meet what it left; those of one cell
+    apply in order of version. value: the cell's after the put. A missing cell or another value gives FAIL.
     """
-    joined = puts.join(current.select("row_key", "column", "value"), ["row_key", "column"], "left")
-    ok = F.coalesce(F.col("value") == F.col("expected"), F.lit(False))
-    return joined.select("row_key", "column", F.when(ok, F.col("new")).otherwise(F.col("value")).alias("value"), F.when(ok, "OK").otherwise("FAIL").alias("status"))
+    own = F.array_sort(F.collect_list(F.struct("version", "expected", "new"))).alias("puts")
+    joined = puts.groupBy("row_key", "column").agg(own).join(current.select("row_key", "column", "value"), ["row_key", "column"], "left")
+    none = F.array().cast("array<struct<version:bigint,value:string,status:string>>")
+
+    def step(acc: Column, put: Column) -> Column:
+        ok = F.coalesce(acc["value"] == put["expected"], F.lit(False))
+        value = F.when(ok, put["new"]).otherwise(acc["value"])
+        done = F.struct(put["version"].cast("long").alias("version"), value.alias("value"), F.when(ok, "OK").otherwise("FAIL").alias("status"))
+        return F.struct(value.alias("value"), F.concat(acc["done"], F.array(done)).alias("done"))
+
+    walked = F.aggregate("puts", F.struct(F.col("value").cast("string").alias("value"), none.alias("done")), step)["done"]
+    return joined.select("row_key", "column", F.explode(walked).alias("p")).select("row_key", "column", "p.version", "p.value", "p.status")
 
 
 def row_versions(log: DataFrame, order: str) -> DataFrame:
