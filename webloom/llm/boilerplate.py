@@ -44,6 +44,7 @@ UNIMPORTANT, DECAY = 0.3, 0.9
 #: Most keys that are sent to the executors; more are joined.
 MOST_BROADCAST = 1 << 20
 
+_BARS = frozenset("|·•»›>/")
 _TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
 _COLUMNS = "rep long, host string, lang string, sure boolean, kin string, said array<long>, vocab array<long>, pages array<int>, share double, phrased double, doubted boolean, menus array<long>, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>, nodes array<long>, shapes array<long>"
 #: Columns of a page's line matrix, then those of spam.measure.
@@ -56,6 +57,11 @@ def _key(*parts: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _keys(parts: list[str]) -> np.ndarray:
+    """``_key`` of each by itself."""
+    return np.array([xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64).view(np.int64)
+
+
 def _outside(page: Page) -> list[bool]:
     """Whether each line lies in side matter by the names of its containers."""
     side: list[bool] = []
@@ -67,10 +73,9 @@ def _outside(page: Page) -> list[bool]:
 def _flags(line: Line, title: str) -> int:
     if len(line.words) > 60:  # no headline or trail is that long
         return _DATED * line.dated
-    text = " ".join(line.text.split()).casefold()
+    text = line.norm
     flags = _HEADLINE if len(text) > 2 and title.startswith(text) and len(text) * 2 > len(title) - 40 else 0
-    last = line.segments[-1] if len(line.segments) > 1 else ""
-    if last and not flags:
+    if not flags and len(line.segments) > 1 and not _BARS.isdisjoint(text):
         tail = _TRAIL.split(text)[-1].strip()
         flags |= _CRUMB if len(tail) > 2 and title.startswith(tail.rstrip(".… ")) else 0
     return flags | _DATED * line.dated | _SHORT * (len(line.words) <= 6)
@@ -123,7 +128,7 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             nodes, shapes = _paths(page, host) if with_pieces else ([], [])
             own = []
             for i, line in enumerate(page.lines if with_pieces else ()):
-                pieces += map(_key, line.segments)
+                pieces += line.segments
                 weights += [s.count(" ") + 1 for s in line.segments]
                 on_site.append(_key(host, str(nodes[line.container]) if line.container >= 0 else "", *line.segments))
                 form = line.form != ""
@@ -134,7 +139,7 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             if own:
                 matrix[:] = own
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), pieces, np.array(weights, np.int32).tobytes(), on_site, forms, places, [*map(_signed, nodes)], shapes))
+            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), _keys(pieces), np.array(weights, np.int32).tobytes(), on_site, forms, places, [*map(_signed, nodes)], shapes))
         yield pd.DataFrame(rows + spill(False), columns=names)
     yield pd.DataFrame(spill(True), columns=names)
 
@@ -291,15 +296,17 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
     n = len(lines)
     if not n:
         return []
-    words, at, flags = lines[:, _WORDS], lines[:, _AT].tolist(), lines[:, _FLAGS]
-    of_line = np.repeat(np.arange(n), lines[:, _PIECES])
+    column = lines.T
+    words, at, flags = column[_WORDS], column[_AT].tolist(), column[_FLAGS]
+    of_line = np.repeat(np.arange(n), column[_PIECES])
     dull_share = np.bincount(of_line, dull_pieces * weights, n) / np.maximum(1, np.bincount(of_line, weights, n))
-    form = np.zeros(n, bool)
-    form[lines[:, _FORM] > 0] = dull_forms
+    linked = column[_LINKED]
     headline = (flags & _HEADLINE) > 0
-    dull = (dull_share >= 0.5) | dull_lines | form | ((flags & _CRUMB) > 0) | ((flags & _DATED) > 0) & (words <= 12) | (lines[:, _LINKED] >= 0.6 * words)
+    dull = (dull_share >= 0.5) | dull_lines | ((flags & _CRUMB) > 0) | ((flags & _DATED) > 0) & (words <= 12) | (linked >= 0.6 * words)
+    if dull_forms.any():
+        dull[np.flatnonzero(column[_FORM])[dull_forms]] = True
     # A headline recurs as little as its article; what stands in its place is kept if it recurs.
-    dull &= ~(headline & (dull_share < 1) & (lines[:, _LINKED] < words))
+    dull &= ~(headline & (dull_share < 1) & (linked < words))
     if not len(tree):
         return lines[~dull, _NO].tolist()
 
@@ -352,11 +359,15 @@ def _judge(medians: dict[str, tuple[float, float]], marks: Marks | None):
                     kept.append([])
                     continue
                 own, values = _own_marks(b, i, marks)
-                dull = (_isin(c, own) for c in keys)
+                every = np.concatenate([*keys, nodes]).astype(np.int64)
+                there = np.zeros(len(every), bool)
+                if len(own):
+                    place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                    there = own[place] == every
+                *dull, at = np.split(there, np.cumsum([*map(len, keys)]))
                 node = np.full(len(nodes), np.nan, np.float32)
-                if len(nodes):
-                    there = _isin(nodes, own)
-                    node[there] = values[np.searchsorted(own, np.asarray(nodes, np.int64)[there])]
+                if at.any():
+                    node[at] = values[place[-len(nodes) :][at]]
                 kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(weights, np.int32), *dull, node))
             yield pd.DataFrame({"rep": b["rep"], "line_nos": kept})
 

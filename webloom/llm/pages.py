@@ -20,13 +20,16 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
 _ANY_TAG = re.compile(r"<[/!?A-Za-z][^<>]*(?:>|$)")
 _LINK = re.compile(r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|$)")
 _WORD = re.compile(r"[^\W_]+")
-_SEGMENT = re.compile(r"[|·•]| [»›>/] |(?<=[.!?。]) ")
+#: What separates the parts of a line, and ends of sentences.
+_BARS, _ENDS = ("|", "·", "•", " » ", " › ", " > ", " / "), (". ", "! ", "? ", "。 ")
+_DATELIKE = re.compile(r"\d[./-]\d").search
+_DIGIT = re.compile(r"\d").search
 _NUMBER = re.compile(r"\d+")
 _NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-Я][\w'-]*")
 _NAMED = re.compile(r"(?i)(?:class|id|style|width|colspan)\s*=\s*[\"']?([^\"'>]*)")
 _LANG = re.compile(r"(?i)lang\s*=\s*[\"']?([A-Za-z]+)")
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
-_SEPARATOR = re.compile(r"[|·•/,;~+*=»›#]|\s-\s")
+_SEPARATORS, _DASH = "|·•/,;~+*=»›#", re.compile(r"\s-\s")
 
 #: Longest line (in words) that has a form.
 FORM_WORDS = 16
@@ -37,10 +40,12 @@ SIDE_NAMES = re.compile(r"(?i)\b(?:nav|navbar|menu|sidebar|footer|site-footer|br
 MAIN_TAGS = frozenset("article main".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     no: int
     text: str
+    #: The text in lower case with single spaces.
+    norm: str
     words: list[str]
     links: int
     link_words: int
@@ -82,14 +87,23 @@ def _blank(m: re.Match) -> str:
 
 def segments(text: str, names: tuple[str, ...] = ()) -> list[str]:
     """The parts of a line between separators and sentence ends, in lower case, numbers as ``#``, the site's names as ``@``."""
-    text = " ".join(text.casefold().split())
+    return _segments(" ".join(text.casefold().split()), names)
+
+
+def _segments(text: str, names: tuple[str, ...]) -> list[str]:
     for n in names:
         if n in text:
             text = text.replace(n, "@")
-    if not text.isalpha():
+    if _DIGIT(text):
         text = _NUMBER.sub("#", text)
+    for bar in _BARS:
+        if bar in text:
+            text = text.replace(bar, "\n")
+    for end in _ENDS:
+        if end in text:
+            text = text.replace(end, end[0] + "\n")
     # A part without letters is nothing but the number of a list item.
-    return [s for x in _SEGMENT.split(text) if (s := x.strip(" .:!?|")).strip("#-()[]")]
+    return [s for x in text.split("\n") if (s := x.strip(" .:!?|")).strip("#-()[]")]
 
 
 def form(text: str, names: tuple[str, ...] = ()) -> str:
@@ -111,57 +125,92 @@ def site_names(title: str, host: str) -> tuple[str, ...]:
     return tuple(sorted((n for n in names if len(n) > 3), key=len, reverse=True))
 
 
-def parse(page: str, host: str = "") -> Page:
-    """The lines with visible text outside the head, numbered from 1."""
-    out = Page()
-    if m := _TITLE.search(page):
-        out.title = " ".join(html.unescape(m.group(1)).split())
-    body = _DROPPED.sub(_blank, _HEAD_OPEN.sub(_blank, page) if "</head" not in page.lower() else page)
-    names = site_names(out.title, host)
-    stack: list[tuple[str, int]] = []
-    for no, raw in enumerate(body.split("\n"), 1):
-        if not raw or raw.isspace():
-            continue
-        first_text = style = None
+class _Scan:
+    """What a line says by itself: the containers it opens (tag, style, whether side matter) and closes (tag), in order, and its text."""
+
+    __slots__ = ("dated", "lang", "link_words", "links", "norm", "ops", "separators", "style", "text", "text_at", "words")
+
+    def __init__(self, raw: str) -> None:
+        self.ops: list[tuple[str, str, bool] | str] = []
+        #: How many of these stand before the first text; the style of the first other tag; the language of <html>.
+        self.text_at, self.style, self.lang = -1, "", ""
+        self.words: list[str] = []
         if "<" in raw:
-            last = 0
+            last, style = 0, None
             for m in _TAG.finditer(raw):
                 close, tag, attrs = m.groups()
-                tag = tag.lower()
-                if first_text is None and (gap := raw[last : m.start()]) and not gap.isspace():
-                    first_text = stack[-1][1] if stack else -1
+                if self.text_at < 0 and (start := m.start()) > last and not raw[last:start].isspace():
+                    self.text_at = len(self.ops)
                 last = m.end()
+                tag = tag.lower()
                 if tag in CONTAINERS:
-                    if close:
-                        for i in range(len(stack) - 1, -1, -1):
-                            if stack[i][0] == tag:
-                                del stack[i:]
-                                break
-                    else:
-                        own, side = _container(tag, attrs)
-                        out.parents.append(stack[-1][1] if stack else -1)
-                        if stack:
-                            out.children[stack[-1][1]].append(own)
-                        out.styles.append(own)
-                        out.side.append(side)
-                        out.children.append([])
-                        stack.append((tag, len(out.parents) - 1))
+                    self.ops.append(tag if close else (tag, *_container(tag, attrs)))
                 elif style is None and not close:
                     style = _container(tag, attrs)[0]
                     if tag == "html" and (found := _LANG.search(attrs)):
-                        out.lang = found.group(1).lower()
-            if first_text is None:
-                first_text = stack[-1][1] if stack else -1
-            at = first_text
+                        self.lang = found.group(1).lower()
+            self.style = style or ""
+            if self.text_at < 0:
+                self.text_at = len(self.ops)
             text = visible(raw)
         else:
+            self.text_at = 0
             text = html.unescape(raw) if "&" in raw else raw
+        folded = text.casefold()
+        self.words = _WORD.findall(folded)
+        if self.words:
+            self.text, self.norm = text, " ".join(folded.split())
+            links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
+            self.links, self.link_words = len(links), sum(links)
+            self.dated = bool(_DATELIKE(text) and _DATE.search(text))
+            self.separators = sum(map(text.count, _SEPARATORS)) + (len(_DASH.findall(text)) if "-" in text else 0)
+
+
+#: Longest line whose scan is remembered, and how many are: menus, notices and lines of tags recur.
+REMEMBERED = 120
+_remembered = lru_cache(1 << 14)(_Scan)
+_form = lru_cache(1 << 13)(form)
+
+
+def parse(page: str, host: str = "") -> Page:
+    """The lines with visible text outside the head, numbered from 1."""
+    out = Page()
+    if m := _TITLE.search(page):
+        out.title = " ".join(html.unescape(m.group(1)).split())
+    body = _DROPPED.sub(_blank, _HEAD_OPEN.sub(_blank, page) if "</head" not in page.lower() else page)
+    names = site_names(out.title, host)
+    stack: list[tuple[str, int]] = []
+    parents, styles, sides, children, lines = out.parents, out.styles, out.side, out.children, out.lines
+    for no, raw in enumerate(body.split("\n"), 1):
+        if not raw or raw.isspace():
+            continue
+        scan = _remembered(raw) if len(raw) <= REMEMBERED else _Scan(raw)
+        at, text_at = -1, scan.text_at
+        if not text_at:
             at = stack[-1][1] if stack else -1
-        words = _WORD.findall(text.casefold())
+        for i, op in enumerate(scan.ops, 1):
+            if type(op) is str:
+                for j in range(len(stack) - 1, -1, -1):
+                    if stack[j][0] == op:
+                        del stack[j:]
+                        break
+            else:
+                tag, style, side = op
+                parents.append(stack[-1][1] if stack else -1)
+                if stack:
+                    children[stack[-1][1]].append(style)
+                styles.append(style)
+                sides.append(side)
+                children.append([])
+                stack.append((tag, len(parents) - 1))
+            if i == text_at:
+                at = stack[-1][1] if stack else -1
+        if scan.lang:
+            out.lang = scan.lang
+        words = scan.words
         if not words:
             continue
         if at >= 0:
-            out.children[at].append(style or "")
-        links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
-        out.lines.append(Line(no, text, words, len(links), sum(links), at, bool(_DATE.search(text)), len(_SEPARATOR.findall(text)), segments(text, names), form(text, names) if len(words) <= FORM_WORDS else ""))
+            children[at].append(scan.style)
+        lines.append(Line(no, scan.text, scan.norm, words, scan.links, scan.link_words, at, scan.dated, scan.separators, _segments(scan.norm, names), _form(scan.text, names) if len(words) <= FORM_WORDS else ""))
     return out

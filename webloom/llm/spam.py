@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from xxhash import xxh3_64_intdigest
 
 from webloom.llm.pages import Line, Page
 
+_WORD = re.compile(r"[^\W_]+")
+
 #: Function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of in to and or is was it its that this which who not than so as at by for from with on into when if after before there their our we you they he she how because has have".split(),
@@ -39,6 +42,7 @@ FUNCTION_WORDS = {
     "nl": "de het een van en of is zijn niet dat die in op te met voor aan door bij om er als ook naar".split(),
 }
 _SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF = {w: [k for k in _SETS if w in _SETS[k]] for w in frozenset().union(*_SETS.values())}
 #: A line must have this part of the median share of function words in its language; lines around a stuffed word, taken together, this part.
 OF_MEDIAN, OF_MEDIAN_STUFFED = 0.5, 0.7
 #: Share of one word (not a function word) among a page's words that makes it a stuffed word.
@@ -69,7 +73,10 @@ def language(words: Counter, declared: str = "") -> tuple[str, bool]:
     A page that declares a language without a list here is never sure.
     """
     total = sum(words.values())
-    found = {k: sum(words[w] for w in words.keys() & s) for k, s in _SETS.items()}
+    found = dict.fromkeys(_SETS, 0)
+    for w in words.keys() & _LANGUAGES_OF.keys():
+        for k in _LANGUAGES_OF[w]:
+            found[k] += words[w]
     best = max(found, key=found.get)
     sure = found[best] >= SURE * total and (not declared or declared in _SETS)
     return best if total and found[best] >= 0.03 * total else "und", bool(total) and sure
@@ -154,7 +161,7 @@ def _phrased(lines: list[list[str]]) -> list[int]:
 
     On long pages common turns of speech recur too, so a run must make up a part of the page.
     """
-    words = [w for line in lines for w in line]
+    words = list(chain.from_iterable(lines))
     runs = list(zip(*(words[i:] for i in range(RUN))))
     if len(runs) - len(set(runs)) < REPEATED - 1:
         return [0] * len(lines)
@@ -181,39 +188,40 @@ def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, do
     if menus is None:
         menus, doubted = menu_lines(page, outside)
     inner = [not (o or m and not doubted) for o, m in zip(outside, menus)]
-    counts: Counter = Counter()
-    for line, ok in zip(page.lines, inner):
-        if ok:
-            counts.update(line.words)
+    within = [line.words for line, ok in zip(page.lines, inner) if ok]
+    counts = Counter(chain.from_iterable(within))
     total = sum(counts.values())
     lang, sure = language(counts, page.lang)
     function = _SETS.get(lang, frozenset())
-    rows = np.zeros((len(page.lines), 6), np.int32)
     top = {w for w, n in counts.items() if n >= 4 and n > STUFFED * total and w not in function}
-    seen: Counter = Counter(s for line, ok in zip(page.lines, inner) if ok for s in line.segments)
-    phrased = _phrased([line.words for line, ok in zip(page.lines, inner) if ok])
-    rows[inner, 5] = phrased
+    seen = Counter(chain.from_iterable(line.segments for line, ok in zip(page.lines, inner) if ok))
+    again = {s for s, n in seen.items() if n > 2}
+    phrased = _phrased(within)
+    said = iter(phrased)
+    title = frozenset(_WORD.findall(page.title.casefold()))
+    rows, left = [], TITLE_LINES
     around, pool, pooled = [], 0, 0
+    is_function, is_top, is_again, in_title = function.__contains__, top.__contains__, again.__contains__, title.__contains__
     for i, (line, ok) in enumerate(zip(page.lines, inner)):
-        n = len(line.words)
-        has = sum(map(function.__contains__, line.words))
-        tops = sum(map(top.__contains__, line.words)) if top else 0
-        listed = line.link_words >= LINKED * n or line.separators >= SEPARATED * n and line.separators >= 4
-        listed |= sum(seen[s] > 2 for s in line.segments) > COPIED * len(line.segments)
-        rows[i, :5] = 1000 * has // max(1, n - tops), tops > 0, 2 if menus[i] and doubted else listed, n if ok else 0, tops if ok else 0
+        words = line.words
+        n = len(words)
+        has = sum(map(is_function, words))
+        tops = sum(map(is_top, words)) if top else 0
+        listed = line.link_words >= LINKED * n or line.separators >= 4 and line.separators >= SEPARATED * n
+        listed = listed or bool(again) and sum(map(is_again, line.segments)) > COPIED * len(line.segments)
+        rows.append([1000 * has // max(1, n - tops), tops > 0, 2 if menus[i] and doubted else listed, n if ok else 0, tops if ok else 0, next(said) if ok else 0])
         if tops and ok:
             around.append(i)
             pool += n - tops
             pooled += has
-    if around:
-        rows[around, 0] = 1000 * pooled // max(1, pool)
-    title = frozenset(w for w in re.findall(r"[^\W_]+", page.title.casefold()))
-    left = TITLE_LINES
+    for i in around:
+        rows[i][0] = 1000 * pooled // max(1, pool)
     for i, line in enumerate(page.lines):
-        says = left > 0 and 0 < len(line.words) <= 2 * len(title) and 2 * sum(w in title for w in line.words) >= len(line.words)
+        says = left > 0 and len(line.words) <= 2 * len(title) and 2 * sum(map(in_title, line.words)) >= len(line.words)
         left -= says
         if says or line.dated and len(line.words) <= DATED_WORDS:
-            rows[i, 0] = 1000
+            rows[i][0] = 1000
+    rows = np.array(rows, np.int32).reshape(-1, 6)
     share = sum(counts[w] for w in counts.keys() & function) / total if total else 0.0
     return lang, sure, counts, share, sum(phrased) / max(1, total), rows
 
