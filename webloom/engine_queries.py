@@ -575,7 +575,7 @@ robot_rules AS (SELECT b.rid, n, name, val, min(n) FILTER (val = '' AND name = '
 robots AS (SELECT h.rid, h.host_hash, h.host_url, h.response_code, h.time_stamp, h.robots_text,
   coalesce(list(val ORDER BY n) FILTER (name = 'allow' AND (no_allow IS NULL OR n < no_allow)), []) AS allow,
   coalesce(list(val ORDER BY n) FILTER (name = 'disallow' AND no_allow IS NULL AND (no_disallow IS NULL OR n < no_disallow)), []) AS disallow,
-  coalesce(arg_max(val::DOUBLE * 1000, n) FILTER (name = 'crawl-delay' AND regexp_full_match(val, '[0-9]+\.?[0-9]*|\.[0-9]+')), 1000.0::DOUBLE) AS delay
+  coalesce(arg_max(try_cast(val AS DOUBLE) * 1000, n) FILTER (name = 'crawl-delay' AND regexp_full_match(val, '[0-9]+\.?[0-9]*|\.[0-9]+')), 1000.0::DOUBLE) AS delay
   FROM hosts h LEFT JOIN robot_rules r ON h.rid = r.rid GROUP BY ALL)"""
 _S_ALLOWED = rf"""{_S_RULES}, newest AS (SELECT * FROM (SELECT *, regexp_replace(lower(host_url), '\.$', '') AS h, row_number() OVER (PARTITION BY regexp_replace(lower(host_url), '\.$', '') ORDER BY time_stamp DESC NULLS LAST, response_code DESC NULLS LAST, robots_text DESC NULLS LAST) AS rn FROM robots WHERE host_url IS NOT NULL) WHERE rn = 1),
 checked AS (SELECT f.url, {_S_HOST} AS host, CASE WHEN contains(f.url, '://') AND regexp_matches(f.url, '^[^:/?#]+://') THEN coalesce(nullif(regexp_extract(f.url, {_S_SHAPE}, 4, 's'), ''), '/') ELSE f.url END AS path FROM frontier f),
