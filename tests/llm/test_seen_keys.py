@@ -13,6 +13,9 @@ from webloom.llm import seen_keys
         ("https://a.test/B?x=1#f", "https://a.test:443/B?x=1"),
         ("http://a.test:8080?q", "http://a.test:8080/?q"),
         ("http://User@A.test/", "http://User@a.test:80/"),
+        ("http://U:p@A.test:/a@B:1", "http://U:p@a.test:80/a@B:1"),
+        ("http://[::1]/", "http://[::1]:80/"),
+        ("http:///x", "http://:80/x"),
         ("ftp://a.test/", None),
         ("/relative", None),
         ("", None),
@@ -20,14 +23,15 @@ from webloom.llm import seen_keys
     ],
 )
 def test_keys(spark, given, key):
-    assert spark.range(1).select(seen_keys.address_key(F.lit(given).cast("string")).alias("k")).first().k == key
+    got = seen_keys.with_key(spark.createDataFrame([(1, given)], "id long, url string"), "id").collect()
+    assert [tuple(r) for r in got] == ([(1, key)] if key else [])
 
 
 def rows_and_truth(spark):
     rng = random.Random(4)
     urls = [None, "", "x", *(f"http://h{i}.test/{i}" for i in range(30)), "HTTP://H1.test:80/1#z"]
     rows = [(i, rng.choice(urls) if i % 3 else "http://hot.test/", "clash") for i in range(400)]
-    key = {u: k for u, k in spark.createDataFrame([(u,) for u in urls if u is not None] + [("http://hot.test/",)], "u string").select("u", seen_keys.address_key(F.col("u"))).collect()}
+    key = {u: k for u, k in spark.createDataFrame([(u,) for u in urls if u is not None] + [("http://hot.test/",)], "u string").withColumn("url", F.col("u")).transform(lambda df: seen_keys.with_key(df, "u")).collect()}
     seen, expected = {"http://h5.test:80/5"}, set()
     for i, u, _ in rows:
         if k := key.get(u):
@@ -55,7 +59,7 @@ def test_state_outlives_its_session(spark, tmp_path):
     parts = seen_keys.ranges(seen_keys.arrivals(queue), 150)
     assert len(parts) == 3
     first = seen_keys.SeenKeys(spark, folder)
-    first.feed(known[1].select(seen_keys.key_digest(seen_keys.address_key(F.col("url"))).alias("digest"), F.lit(seen_keys.KNOWN).alias("place")))
+    first.feed(seen_keys.with_key(known[1]).select(seen_keys.key_digest(F.col("key")).alias("digest"), F.lit(seen_keys.KNOWN).alias("place")))
     first.feed(parts[0])
     first._run = lambda: None  # the session ends before the micro-batch
     first.feed(parts[1])

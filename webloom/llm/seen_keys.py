@@ -31,24 +31,28 @@ BATCH_ROWS = 1 << 26
 _ARRIVALS, _ANSWERS = "digest binary, place long", "place long, repeat boolean"
 
 
-def address_key(url: Column) -> Column:
-    """The key of an address, null if it isn't http or https: trimmed of spaces and tabs, scheme and host in lower case,
-    port written out, no fragment, an empty path as ``/``."""
-    given = F.substring_index(F.btrim(url, F.lit(" \t")), "#", 1)
-    start = F.lower(F.substring(given, 1, 8))
-    secure = start == "https://"
-    after = F.when(secure, F.substr(given, F.lit(9))).otherwise(F.substr(given, F.lit(8)))
-    authority = F.substring_index(F.substring_index(after, "/", 1), "?", 1)
-    rest = F.substr(after, F.length(authority) + 1)
-    last = F.substring_index(authority, ":", -1)
-    ported = authority.contains(":") & (F.translate(last, "0123456789", "") == "")
-    name = F.when(ported, F.substr(authority, F.lit(1), F.length(authority) - F.length(last) - 1)).otherwise(authority)
-    host = F.substring_index(name, "@", -1)
-    port = F.when(ported & (last != ""), last).when(secure, "443").otherwise("80")
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    user = F.substr(name, F.lit(1), F.length(name) - F.length(host))
-    key = F.concat(F.when(secure, "https://").otherwise("http://"), user, F.lower(host), F.lit(":"), port, path)
-    return F.when(secure | (F.substring(start, 1, 7) == "http://"), key)
+def with_key(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, key) of the ``rows`` whose ``url`` has a key: trimmed of spaces and tabs, scheme and host in lower case, port
+    written out, no fragment, an empty path as ``/``. What is null or neither http nor https has none.
+
+    Step by step, so that no part is computed again for each place that it is used in.
+    """
+    c = F.col
+    out = rows.select(*keep, F.substring_index(F.btrim("url", F.lit(" \t")), "#", 1).alias("_given"))
+    out = out.select(*keep, "_given", F.lower(F.substring("_given", 1, 8)).alias("_start"))
+    out = out.where((c("_start") == "https://") | c("_start").startswith("http://")).select(*keep, "_given", (c("_start") == "https://").alias("_secure"))
+    out = out.select(*keep, "_secure", F.substr("_given", F.when(c("_secure"), 9).otherwise(8)).alias("_after"))
+    out = out.select(*keep, "_secure", "_after", F.substring_index(F.substring_index("_after", "/", 1), "?", 1).alias("_authority"))
+    out = out.select(*keep, "_secure", "_authority", F.substr("_after", F.length("_authority") + 1).alias("_rest"), F.substring_index("_authority", ":", -1).alias("_last"))
+    ported = (F.length("_last") < F.length("_authority")) & (F.translate("_last", "0123456789", "") == "")
+    out = out.select(*keep, "_secure", "_authority", "_rest", "_last", ported.alias("_ported"))
+    name = F.when(c("_ported"), F.substr("_authority", F.lit(1), F.length("_authority") - F.length("_last") - 1)).otherwise(c("_authority"))
+    port = F.when(c("_ported") & (c("_last") != ""), c("_last")).when(c("_secure"), "443").otherwise("80")
+    out = out.select(*keep, "_secure", "_rest", name.alias("_name"), port.alias("_port"))
+    out = out.select(*keep, "_secure", "_rest", "_name", "_port", F.substring_index("_name", "@", -1).alias("_host"))
+    user = F.substr("_name", F.lit(1), F.length("_name") - F.length("_host"))
+    path = F.when(c("_rest").startswith("/"), c("_rest")).otherwise(F.concat(F.lit("/"), c("_rest")))
+    return out.select(*keep, F.concat(F.when(c("_secure"), "https://").otherwise("http://"), user, F.lower("_host"), F.lit(":"), c("_port"), path).alias("key"))
 
 
 def key_digest(key: Column) -> Column:
@@ -124,7 +128,7 @@ def ranges(rows: DataFrame, batch_rows: int) -> list[DataFrame]:
 
 def arrivals(queue: DataFrame) -> DataFrame:
     """(digest, place) of the rows of ``queue`` (queue_id, url) that have a key."""
-    return queue.select(key_digest(address_key(F.col("url"))).alias("digest"), F.col("queue_id").cast("long").alias("place")).where("digest IS NOT NULL AND place IS NOT NULL")
+    return with_key(queue.where("queue_id IS NOT NULL"), "queue_id").select(key_digest(F.col("key")).alias("digest"), F.col("queue_id").cast("long").alias("place"))
 
 
 def repeats(queue: DataFrame, known: list[DataFrame], batch_rows: int = BATCH_ROWS) -> DataFrame:
@@ -137,7 +141,7 @@ def repeats(queue: DataFrame, known: list[DataFrame], batch_rows: int = BATCH_RO
     seen = SeenKeys(queue.sparkSession)
     before = None
     for k in known:
-        rows = k.select(key_digest(address_key(F.col("url"))).alias("digest"), F.lit(KNOWN).cast("long").alias("place"))
+        rows = with_key(k).select(key_digest(F.col("key")).alias("digest"), F.lit(KNOWN).cast("long").alias("place"))
         before = rows if before is None else before.unionByName(rows)
     if before is not None:
         seen.feed(before)
@@ -148,14 +152,12 @@ def repeats(queue: DataFrame, known: list[DataFrame], batch_rows: int = BATCH_RO
 
 def exact_repeats(queue: DataFrame, known: list[DataFrame]) -> DataFrame:
     """The same from whole keys in one batch, to measure the rate of wrong answers: (queue_id, repeat) of rows with a key."""
-    key = address_key(F.col("url")).alias("key")
-    rows = queue.select(key, F.col("queue_id").cast("long").alias("place"))
+    rows = with_key(queue, "queue_id").select("key", F.col("queue_id").cast("long").alias("place"))
     every = rows
     for k in known:
-        every = every.unionByName(k.select(key, F.lit(KNOWN).cast("long").alias("place")))
-    firsts = every.where("key IS NOT NULL").groupBy("key").agg(F.min("place").alias("first_place"))
-    keyed = rows.where("key IS NOT NULL").join(firsts, "key")
-    return keyed.select(F.col("place").alias("queue_id"), (F.col("place") > F.col("first_place")).alias("repeat"))
+        every = every.unionByName(with_key(k).select("key", F.lit(KNOWN).cast("long").alias("place")))
+    firsts = every.groupBy("key").agg(F.min("place").alias("first_place"))
+    return rows.join(firsts, "key").select(F.col("place").alias("queue_id"), (F.col("place") > F.col("first_place")).alias("repeat"))
 
 
 def wrong_answers(queue: DataFrame, found: DataFrame, known: list[DataFrame]) -> DataFrame:
