@@ -25,11 +25,15 @@ def initial(nodes: DataFrame) -> DataFrame:
     return nodes.select("url", F.lit(1.0).alias("rank"), F.lit(1.0).alias("prev"))
 
 
-def out_degrees(edges: DataFrame) -> DataFrame:
-    """(src, dst, w, d): links from src to dst over all links of src, which are d; parallel links are one row."""
+def degrees(edges: DataFrame) -> DataFrame:
+    """(s, d): the links of each source, repeats included."""
+    return edges.groupBy(F.col("src").alias("s")).agg(F.count("*").alias("d"))
+
+
+def out_degrees(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """(src, dst, w): links from src to dst over all links of src; parallel links are one row. Sources without a degree are left out."""
     per_link = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
-    degree = edges.groupBy("src").agg(F.count("*").alias("d")).withColumnRenamed("src", "s")
-    return per_link.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.col("k") / F.col("d")).alias("w"), "d")
+    return per_link.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.col("k") / F.col("d")).alias("w"))
 
 
 def step(state: DataFrame, weights: DataFrame, of_hubs: DataFrame | None = None) -> DataFrame:
@@ -58,12 +62,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, threshold: f
     else. Hubs would make one bucket large, so their links lie apart and their ranks, a few per partition, are broadcast.
     """
     n = shuffle_partitions(edges.sparkSession)
-    every = frozen(out_degrees(edges), "weights")
-    links = every.agg(F.coalesce(F.sum(F.col("w") * F.col("d")), F.lit(0.0))).first()[0]
-    least = max(HUB_LINKS, int(links) // (HUB_PART * n))
-    of_hubs = every.where(F.col("d") > least).select("src", "dst", "w")
-    of_hubs = None if of_hubs.isEmpty() else of_hubs
-    weights = bucketed(every.where(F.col("d") <= least).select("src", "dst", "w").repartition(n, "src"), "weights", "src", n)
+    degree = frozen(degrees(edges), "degrees")
+    links = degree.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+    least = max(HUB_LINKS, links // (HUB_PART * n))
+    hubs = degree.where(F.col("d") > least)
+    of_hubs = None if hubs.isEmpty() else frozen(out_degrees(edges, F.broadcast(hubs)), "hubs")
+    weights = bucketed(out_degrees(edges, degree.where(F.col("d") <= least)).repartition(n, "src"), "weights", "src", n)
     state = bucketed(initial(nodes).repartition(n, "url"), "ranks", "url", n)
     for _ in range(rounds):
         state = bucketed(step(state, weights, of_hubs), "ranks", "url", n)

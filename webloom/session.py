@@ -58,7 +58,7 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     own = f"{name}_{path[-32:]}"
-    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(own)
     out = spark.table(own)
     spark.sql(f"DROP TABLE {own}")
     return out
