@@ -58,7 +58,7 @@ def _key(*parts: str) -> int:
 
 
 def _keys(parts: list[str]) -> np.ndarray:
-    """``_key`` of each by itself."""
+    """``_key`` of each by itself, or of parts that are joined already."""
     return np.array([xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64).view(np.int64)
 
 
@@ -84,7 +84,7 @@ def _flags(line: Line, title: str) -> int:
 _MASK = (1 << 64) - 1
 
 
-def _paths(page: Page, host: str) -> tuple[list[int], list[int]]:
+def _paths(page: Page, host: str) -> tuple[list[int], np.ndarray]:
     """Of each container its place in the site's merged tree (host, and styles from the root down), and its style node: the sequence of its children."""
     nodes: list[int] = []
     root = _key("site", host) & _MASK
@@ -92,7 +92,7 @@ def _paths(page: Page, host: str) -> tuple[list[int], list[int]]:
         above = nodes[parent] if parent >= 0 else root
         x = (above ^ above >> 29) * 0xBF58476D1CE4E5B9 + _style(style) & _MASK
         nodes.append(x ^ x >> 32)
-    return nodes, [_key(*c) for c in page.children]
+    return nodes, _keys(["\x1f".join(c) for c in page.children])
 
 
 @lru_cache(1 << 14)
@@ -100,10 +100,6 @@ def _style(style: str) -> int:
     return _key("style", style) & _MASK
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
     vocabulary = spam.Vocabulary()
@@ -130,16 +126,16 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
             for i, line in enumerate(page.lines if with_pieces else ()):
                 pieces += line.segments
                 weights += [s.count(" ") + 1 for s in line.segments]
-                on_site.append(_key(host, str(nodes[line.container]) if line.container >= 0 else "", *line.segments))
+                on_site.append("\x1f".join((host, str(nodes[line.container]) if line.container >= 0 else "", *line.segments)))
                 form = line.form != ""
                 if form:
-                    forms.append(_key("form", line.form))
+                    forms.append("form\x1f" + line.form)
                     places.append(i / max(1, n - 1))
                 own.append((line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form))
             if own:
                 matrix[:] = own
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), _keys(pieces), np.array(weights, np.int32).tobytes(), on_site, forms, places, [*map(_signed, nodes)], shapes))
+            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), _keys(pieces), np.array(weights, np.int32).tobytes(), _keys(on_site), _keys(forms), places, np.array(nodes, np.uint64).view(np.int64), shapes))
         yield pd.DataFrame(rows + spill(False), columns=names)
     yield pd.DataFrame(spill(True), columns=names)
 

@@ -128,7 +128,7 @@ def site_names(title: str, host: str) -> tuple[str, ...]:
 class _Scan:
     """What a line says by itself: the containers it opens (tag, style, whether side matter) and closes (tag), in order, and its text."""
 
-    __slots__ = ("dated", "lang", "link_words", "links", "norm", "ops", "separators", "style", "text", "text_at", "words")
+    __slots__ = ("dated", "form", "lang", "link_words", "links", "norm", "ops", "segments", "separators", "style", "text", "text_at", "words")
 
     def __init__(self, raw: str) -> None:
         self.ops: list[tuple[str, str, bool] | str] = []
@@ -160,6 +160,9 @@ class _Scan:
         self.words = _WORD.findall(folded)
         if self.words:
             self.text, self.norm = text, " ".join(folded.split())
+            #: As they are where none of the site's names is in the line.
+            self.segments = _segments(self.norm, ())
+            self.form = form(text) if len(self.words) <= FORM_WORDS else ""
             links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
             self.links, self.link_words = len(links), sum(links)
             self.dated = bool(_DATELIKE(text) and _DATE.search(text))
@@ -212,5 +215,10 @@ def parse(page: str, host: str = "") -> Page:
             continue
         if at >= 0:
             children[at].append(scan.style)
-        lines.append(Line(no, scan.text, scan.norm, words, scan.links, scan.link_words, at, scan.dated, scan.separators, _segments(scan.norm, names), _form(scan.text, names) if len(words) <= FORM_WORDS else ""))
+        parts, shape, norm = scan.segments, scan.form, scan.norm
+        for n in names:
+            if n in norm:
+                parts, shape = _segments(norm, names), _form(scan.text, names) if shape else ""
+                break
+        lines.append(Line(no, scan.text, norm, words, scan.links, scan.link_words, at, scan.dated, scan.separators, parts, shape))
     return out

@@ -119,7 +119,7 @@ class Vocabulary:
     def add(self, lang: str, words: Iterable[str]) -> None:
         own = self.pages.setdefault(lang, Counter())
         before = len(own)
-        own.update(words)
+        own.update(words.elements() if isinstance(words, Counter) else words)  # what is no mapping is counted without a loop in Python
         self.size += len(own) - before
 
     def spilled(self, last: bool = False) -> list[tuple[str, list[int], list[int]]]:
