@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from webloom.llm import boilerplate, spam
+from webloom.llm import boilerplate, pages, spam
 from webloom.llm.pages import parse, segments
 
 NAV = '<div class="menu"><a href="/a">News</a> | <a href="/b">Travel</a> | <a href="/c">Sport</a></div>'
@@ -213,3 +213,37 @@ def test_many_lines_like_menus_are_spam_unless_they_recur_on_the_site(table, spa
     rows += [(601 + i, f"http://short.test/{i}", f"{menu}\n<p>{sentence(rng)}</p>") for i in range(4)]
     crawl = table[0].select("crawl_id", "url", "page").union(spark.createDataFrame(rows, "crawl_id long, url string, page string"))
     assert {r.crawl_id for r in boilerplate.spam_rows(crawl).collect()} == table[2] | {600}
+
+
+def test_lines_of_a_page_are_read_together(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def sub(self, *args):
+            self.calls += 1
+            return self.pattern.sub(*args)
+
+    counted = Counted(pages._NUMBER)
+    monkeypatch.setattr(pages, "_NUMBER", counted)
+    page = pages.parse("\n".join(f"<p>Line {i} of No. {7 * i} is read | once</p>" for i in range(200)))
+    assert [line.no for line in page.lines] == list(range(1, 201)) and counted.calls <= 4
+    assert page.lines[3].segments == ["line # of no", "# is read", "once"] and page.lines[3].form == "^ # of ^. # is read | once"
+
+
+@pytest.mark.parametrize("odd", ["a\0b 1.2.2020 C", "\ud800x Y_z", "Stra\u00dfe\u00a0\u0130\u3002 9", "one\x1ctwo\x85three", "\u00b7 \u2022 x", "x. y! z? - 4 / 5 \u00bb 6", "\u0661\u0662-\u0663 A'b-C", "..", "\0"])
+def test_a_line_says_the_same_among_others(odd):
+    alone = pages.parse(odd)
+    among = pages.parse("\n".join(["Ends with a dot.", odd, " / Starts 12 with a bar", "x" * 200 + " 1-1-1", odd + " again", odd]))
+    said = [(x.text, x.norm, x.words, x.segments, x.form, x.dated, x.separators, x.links) for x in among.lines if x.no in (2, 6)]
+    assert said == 2 * [(x.text, x.norm, x.words, x.segments, x.form, x.dated, x.separators, x.links) for x in alone.lines]
+    for x in among.lines:
+        assert x.words == pages._WORD.findall(x.text.casefold()) and x.segments == pages.segments(x.text)
+        assert x.form == (pages.form(x.text) if len(x.words) <= pages.FORM_WORDS else "")
+
+
+def test_runs_are_counted_only_among_frequent_words():
+    lines = ["buy the best shoes".split()] * 5 + ["we ask the best of all".split()]
+    counts = spam.Counter(w for words in lines for w in words)
+    assert spam._phrased(lines, counts) == [4] * 5 + [0]
+    assert spam._phrased(lines[4:], spam.Counter(lines[4] + lines[5])) == [0, 0]

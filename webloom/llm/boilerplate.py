@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,11 @@ def _key(*parts: str) -> int:
 
 def _keys(parts: list[str]) -> np.ndarray:
     """``_key`` of each by itself, or of parts that are joined already."""
-    return np.array([xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64).view(np.int64)
+    try:
+        found = np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts))
+    except UnicodeEncodeError:  # half a surrogate pair
+        found = np.array([xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64)
+    return found.view(np.int64)
 
 
 def _outside(page: Page) -> list[bool]:
@@ -120,18 +125,18 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
                 kin, said = spam.kin(words, page.lang), spam.word_keys(line.words for line, count in zip(page.lines, spamwise[:, 3]) if count)
             menus = [_key(host, *line.words) for line, m in zip(page.lines, found[0]) if m]
             n = len(page.lines)
-            matrix, pieces, weights, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], [], []
+            matrix, pieces, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], []
             nodes, shapes = _paths(page, host) if with_pieces else ([], [])
             own = []
             for i, line in enumerate(page.lines if with_pieces else ()):
                 pieces += line.segments
-                weights += [s.count(" ") + 1 for s in line.segments]
                 on_site.append("\x1f".join((host, str(nodes[line.container]) if line.container >= 0 else "", *line.segments)))
                 form = line.form != ""
                 if form:
                     forms.append("form\x1f" + line.form)
                     places.append(i / max(1, n - 1))
                 own.append((line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form))
+            weights = [s.count(" ") + 1 for s in pieces]
             if own:
                 matrix[:] = own
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
@@ -317,7 +322,7 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
         if (p := parents[c]) >= 0:
             first[p], last[p] = min(first[p], first[c]), max(last[p], last[c])
     keep = headline & ~dull
-    all_words, lively_words, kept = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (words, words * ~dull, keep))
+    all_words, lively_words, kept = (list(accumulate(x.tolist(), initial=0)) for x in (words, words * ~dull, keep))
     total = lively_words[-1]
     importance = composite(parents, at, node.tolist(), dull.tolist())
     known, side, main = (~np.isnan(node)).tolist(), tree[:, 1].tolist(), tree[:, 2].tolist()
@@ -335,7 +340,7 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
             removed[a:b] = True
     # What lies outside the branch of the headline is no part of its article, if that branch holds most of the page.
     if any_kept:
-        left = np.concatenate([[0], np.cumsum(words * ~(dull | removed))]).tolist()
+        left = list(accumulate((words * ~(dull | removed)).tolist(), initial=0))
         c = at[int(np.flatnonzero(keep)[-1])]
         while c >= 0 and left[last[c]] - left[first[c]] <= 0.5 * left[-1]:
             c = parents[c]
@@ -360,7 +365,8 @@ def _judge(medians: dict[str, tuple[float, float]], marks: Marks | None):
                 if len(own):
                     place = np.minimum(np.searchsorted(own, every), len(own) - 1)
                     there = own[place] == every
-                *dull, at = np.split(there, np.cumsum([*map(len, keys)]))
+                ends = list(accumulate(map(len, keys), initial=0))
+                *dull, at = *(there[a:e] for a, e in pairwise(ends)), there[ends[-1] :]
                 node = np.full(len(nodes), np.nan, np.float32)
                 if at.any():
                     node[at] = values[place[-len(nodes) :][at]]

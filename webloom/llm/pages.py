@@ -20,6 +20,9 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>")
 _ANY_TAG = re.compile(r"<[/!?A-Za-z][^<>]*(?:>|$)")
 _LINK = re.compile(r"(?is)<a\b[^>]*>(.*?)(?:</a\s*>|$)")
 _WORD = re.compile(r"[^\W_]+")
+#: What stands between lines of a page that are read together, and what else parts words: in ASCII and outside.
+_CUT = "\0"
+_BLANKS, _ODD = bytes(i if i > 127 or i == 0 or chr(i).isalnum() else 32 for i in range(256)), re.compile(r"[^\x00-\x7f\w]")
 #: What separates the parts of a line, and ends of sentences.
 _BARS, _ENDS = ("|", "·", "•", " » ", " › ", " > ", " / "), (". ", "! ", "? ", "。 ")
 _DATELIKE = re.compile(r"\d[./-]\d").search
@@ -94,6 +97,11 @@ def _segments(text: str, names: tuple[str, ...]) -> list[str]:
     for n in names:
         if n in text:
             text = text.replace(n, "@")
+    return _segments_of(_parted(text))
+
+
+def _parted(text: str) -> str:
+    """Text with numbers as ``#`` and a line feed after each part."""
     if _DIGIT(text):
         text = _NUMBER.sub("#", text)
     for bar in _BARS:
@@ -102,6 +110,10 @@ def _segments(text: str, names: tuple[str, ...]) -> list[str]:
     for end in _ENDS:
         if end in text:
             text = text.replace(end, end[0] + "\n")
+    return text
+
+
+def _segments_of(text: str) -> list[str]:
     # A part without letters is nothing but the number of a list item.
     return [s for x in text.split("\n") if (s := x.strip(" .:!?|")).strip("#-()[]")]
 
@@ -113,7 +125,11 @@ def form(text: str, names: tuple[str, ...] = ()) -> str:
         for n in names:
             if n in low:
                 out = re.sub(re.escape(n), "@", out, flags=re.I)
-    return _NAME.sub("^", _NUMBER.sub("#", out))
+    return _masked(out)
+
+
+def _masked(text: str) -> str:
+    return _NAME.sub("^", _NUMBER.sub("#", text))
 
 
 def site_names(title: str, host: str) -> tuple[str, ...]:
@@ -136,12 +152,10 @@ class _Scan:
         self.text_at, self.style, self.lang = -1, "", ""
         self.words: list[str] = []
         if "<" in raw:
-            last, style = 0, None
-            for m in _TAG.finditer(raw):
-                close, tag, attrs = m.groups()
-                if self.text_at < 0 and (start := m.start()) > last and not raw[last:start].isspace():
+            style, parts = None, iter(_TAG.split(raw))
+            for before, close, tag, attrs in zip(parts, parts, parts, parts):
+                if self.text_at < 0 and before and not before.isspace():
                     self.text_at = len(self.ops)
-                last = m.end()
                 tag = tag.lower()
                 if tag in CONTAINERS:
                     self.ops.append(tag if close else (tag, *_container(tag, attrs)))
@@ -152,26 +166,81 @@ class _Scan:
             self.style = style or ""
             if self.text_at < 0:
                 self.text_at = len(self.ops)
-            text = visible(raw)
+            self.text = visible(raw)
         else:
             self.text_at = 0
-            text = html.unescape(raw) if "&" in raw else raw
-        folded = text.casefold()
-        self.words = _WORD.findall(folded)
-        if self.words:
-            self.text, self.norm = text, " ".join(folded.split())
-            #: As they are where none of the site's names is in the line.
-            self.segments = _segments(self.norm, ())
-            self.form = form(text) if len(self.words) <= FORM_WORDS else ""
-            links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
-            self.links, self.link_words = len(links), sum(links)
-            self.dated = bool(_DATELIKE(text) and _DATE.search(text))
-            self.separators = sum(map(text.count, _SEPARATORS)) + (len(_DASH.findall(text)) if "-" in text else 0)
+            self.text = html.unescape(raw) if "&" in raw else raw
+        links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
+        self.links, self.link_words = len(links), sum(links)
+
+
+def _read(scans: list[_Scan]) -> None:
+    """What the text of these lines says, read together: a pattern is searched for once in all of them."""
+    joined = _CUT.join([s.text for s in scans])
+    alone = len(scans) == 1
+    if not alone and joined.count(_CUT) >= len(scans):
+        for s in scans:
+            _read([s])
+        return
+    cut = (lambda x: [x]) if alone else (lambda x: x.split(_CUT))
+    folded = joined.casefold()
+    if alone and _CUT in folded:
+        found = [_WORD.findall(folded)]
+    else:
+        spaced = (folded if folded.isascii() else _ODD.sub(" ", folded)).encode().translate(_BLANKS).decode()
+        found = [x.split() for x in cut(spaced)]
+    kept, norms = [], []
+    for s, words, low in zip(scans, found, cut(folded)):
+        s.words = words
+        if words:
+            kept.append(s)
+            norms.append(" ".join(low.split()))
+    if not kept:
+        return
+    dates = _DATELIKE(joined) is not None
+    #: Segments are as they are where none of the site's names is in the line.
+    for s, norm, parts in zip(kept, norms, cut(_parted(_CUT.join(norms)))):
+        text = s.text
+        s.norm, s.segments, s.form = norm, _segments_of(parts), ""
+        s.dated = dates and _DATELIKE(text) is not None and _DATE.search(text) is not None
+        s.separators = sum(map(text.count, _SEPARATORS)) + (len(_DASH.findall(text)) if "-" in text else 0)
+    short = [s for s in kept if len(s.words) <= FORM_WORDS]
+    if short:
+        masked = _masked(_CUT.join([" ".join(s.text.split()) for s in short]))
+        for s, shape in zip(short, cut(masked)):
+            s.form = shape
 
 
 #: Longest line whose scan is remembered, and how many are: menus, notices and lines of tags recur.
-REMEMBERED = 120
-_remembered = lru_cache(1 << 14)(_Scan)
+REMEMBERED, MOST_REMEMBERED = 120, 1 << 14
+#: Those of late, and those before, which are forgotten unless they recur.
+_late: dict[str, _Scan] = {}
+_before: dict[str, _Scan] = {}
+
+
+def _scans(lines: list[str]) -> list[_Scan]:
+    global _late, _before
+    out, new = [], []
+    try:
+        for raw in lines:
+            scan = _late.get(raw)
+            if scan is None:
+                scan = _before.get(raw)
+                if scan is None:
+                    new.append(scan := _Scan(raw))
+                if len(raw) <= REMEMBERED:
+                    _late[raw] = scan
+            out.append(scan)
+        if new:
+            _read(new)
+    except BaseException:
+        _late = {}  # some may not be read yet
+        raise
+    if len(_late) > MOST_REMEMBERED // 2:
+        _late, _before = {}, _late
+    return out
+
+
 _form = lru_cache(1 << 13)(form)
 
 
@@ -184,10 +253,8 @@ def parse(page: str, host: str = "") -> Page:
     names = site_names(out.title, host)
     stack: list[tuple[str, int]] = []
     parents, styles, sides, children, lines = out.parents, out.styles, out.side, out.children, out.lines
-    for no, raw in enumerate(body.split("\n"), 1):
-        if not raw or raw.isspace():
-            continue
-        scan = _remembered(raw) if len(raw) <= REMEMBERED else _Scan(raw)
+    numbered = [(no, raw) for no, raw in enumerate(body.split("\n"), 1) if raw and not raw.isspace()]
+    for (no, _), scan in zip(numbered, _scans([raw for _, raw in numbered])):
         at, text_at = -1, scan.text_at
         if not text_at:
             at = stack[-1][1] if stack else -1

@@ -156,17 +156,21 @@ def without_menus(lines: np.ndarray, keys: np.ndarray, recurring: np.ndarray) ->
     return lines
 
 
-def _phrased(lines: list[list[str]]) -> list[int]:
+def _phrased(lines: list[list[str]], counts: Counter) -> list[int]:
     """How many words of each line are in runs of RUN words that stand on the page REPEATED times, also across lines.
 
-    On long pages common turns of speech recur too, so a run must make up a part of the page.
+    On long pages common turns of speech recur too, so a run must make up a part of the page. counts: of the words; a run
+    stands on the page no more often than any of its words.
     """
     words = list(chain.from_iterable(lines))
+    least = max(REPEATED, len(words) / ONCE_IN)
+    often = {w for w, n in counts.items() if n >= least}
+    if len(words) < RUN or bytes(RUN * [1]) not in bytes(map(often.__contains__, words)):
+        return [0] * len(lines)
     runs = list(zip(*(words[i:] for i in range(RUN))))
     if len(runs) - len(set(runs)) < REPEATED - 1:
         return [0] * len(lines)
     counts = Counter(runs)
-    least = max(REPEATED, len(words) / ONCE_IN)
     covered = np.zeros(len(words) + 1, np.int32)
     for i, run in enumerate(runs):
         if counts[run] >= least:
@@ -196,16 +200,19 @@ def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, do
     top = {w for w, n in counts.items() if n >= 4 and n > STUFFED * total and w not in function}
     seen = Counter(chain.from_iterable(line.segments for line, ok in zip(page.lines, inner) if ok))
     again = {s for s, n in seen.items() if n > 2}
-    phrased = _phrased(within)
+    phrased = _phrased(within, counts)
     said = iter(phrased)
     title = frozenset(_WORD.findall(page.title.casefold()))
     rows, left = [], TITLE_LINES
     around, pool, pooled = [], 0, 0
-    is_function, is_top, is_again, in_title = function.__contains__, top.__contains__, again.__contains__, title.__contains__
+    is_top, is_again, in_title = top.__contains__, again.__contains__, title.__contains__
+    # A byte per word of the page, which are counted by line.
+    is_function, at = bytes(map(function.__contains__, chain.from_iterable([line.words for line in page.lines]))), 0
     for i, (line, ok) in enumerate(zip(page.lines, inner)):
         words = line.words
         n = len(words)
-        has = sum(map(is_function, words))
+        has = is_function.count(1, at, at + n)
+        at += n
         tops = sum(map(is_top, words)) if top else 0
         listed = line.link_words >= LINKED * n or line.separators >= 4 and line.separators >= SEPARATED * n
         listed = listed or bool(again) and sum(map(is_again, line.segments)) > COPIED * len(line.segments)
