@@ -247,3 +247,49 @@ def test_runs_are_counted_only_among_frequent_words():
     counts = spam.Counter(w for words in lines for w in words)
     assert spam._phrased(lines, counts) == [4] * 5 + [0]
     assert spam._phrased(lines[4:], spam.Counter(lines[4] + lines[5])) == [0, 0]
+
+
+def test_tags_that_recur_are_taken_apart_once(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def split(self, *args):
+            self.calls += 1
+            return self.pattern.split(*args)
+
+    counted = Counted(pages._TAG)
+    monkeypatch.setattr(pages, "_TAG", counted)
+    page = pages.parse("\n".join(f"  <div class='once-{i % 2}'>Line {i} &amp; more</div>" for i in range(200)))
+    assert counted.calls <= 2 and page.styles[:2] == ["div.once-0", "div.once-1"] and len(page.styles) == 200
+    assert page.lines[7].text.split() == ["Line", "7", "&", "more"] and page.lines[7].container == 7
+
+
+@pytest.mark.parametrize("raw", ["<p>a</p>", " <div class='menu'>a > b", "<a href='/x'>two words</a>", "x<br>", "<p></p>", "<p> </p>y", "< p>a</p>", "<p>a<b", "<3>a</p>", "a <p>b</p>", "<td>a</td> b", "<html lang=de>a", "<p>&lt;b&gt;", "<li><b>c</b></li>", "</div>a<div>", "<p>a", ">a<", "<", "<p", "<p>a<!-- b"])
+def test_a_line_between_two_tags_is_read_as_any_other(raw):
+    said = [[getattr(x, c) for c in ("ops", "text_at", "style", "lang", "text", "links", "link_words")] for x in (pages._Scan(raw), pages._Scan(raw, shells=False))]
+    assert said[0] == said[1] and said[0][4] == pages.visible(raw)
+
+
+def test_words_of_pages_add_up():
+    said = [("en", "the the cat"), ("en", "the dog \ud800x"), ("de", "der"), ("en", "")]
+    for most in (1, 1 << 20):
+        vocabulary, got = spam.Vocabulary(most), spam.Counter()
+        for lang, text in said:
+            vocabulary.add(lang, spam.Counter(text.split()))
+            for last in (False, True):
+                for of, keys, n in vocabulary.spilled(last and text == ""):
+                    got.update(dict(zip(zip([of] * len(keys), keys.tolist()), n.tolist())))
+        assert got == {(lang, spam.word_key(w)): n for lang, w, n in (("en", "the", 3), ("en", "cat", 1), ("en", "dog", 1), ("en", "\ud800x", 1), ("de", "der", 1))}
+
+
+def test_marks_are_sought_for_all_pages_at_once(monkeypatch):
+    sought, calls = boilerplate._sought, []
+    monkeypatch.setattr(boilerplate, "_sought", lambda *args: calls.append(1) or sought(*args))
+    rows = [([1, 2], [9]), ([], []), ([3], [4, 2])]
+    b = boilerplate.pd.DataFrame(rows, columns=["pieces", "nodes"])
+    marks = np.array([2, 9], np.int64), np.array([0.5, 0.25], np.float32)
+    together = [([f.tolist() for f in found], np.nan_to_num(value, nan=-1).tolist()) for _, found, value in boilerplate._looked_up(b, ["pieces", "nodes"], marks)]
+    assert len(calls) == 1 and together == [([[False, True], [True]], [0.25]), ([[], []], []), ([[False], [False, True]], [-1, 0.5])]
+    b["marks"] = [[{"key": 9, "value": 0.25}, {"key": 2, "value": 0.5}], None, [{"key": 2, "value": 0.5}]]
+    assert together == [([f.tolist() for f in found], np.nan_to_num(value, nan=-1).tolist()) for _, found, value in boilerplate._looked_up(b, ["pieces", "nodes"], None)]

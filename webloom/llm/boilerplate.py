@@ -45,7 +45,7 @@ UNIMPORTANT, DECAY = 0.3, 0.9
 #: Most keys that are sent to the executors; more are joined.
 MOST_BROADCAST = 1 << 20
 
-_BARS = frozenset("|·•»›>/")
+_BARS = re.compile(r"[|·•»›>/]").search
 _TRAIL = re.compile(r"\s*[|·•]\s*|\s+[»›>/]\s+")
 _COLUMNS = "rep long, host string, lang string, sure boolean, kin string, said array<long>, vocab array<long>, pages array<int>, share double, phrased double, doubted boolean, menus array<long>, lines binary, tree binary, pieces array<long>, weights binary, on_site array<long>, forms array<long>, places array<float>, nodes array<long>, shapes array<long>"
 #: Columns of a page's line matrix, then those of spam.measure.
@@ -80,7 +80,7 @@ def _flags(line: Line, title: str) -> int:
         return _DATED * line.dated
     text = line.norm
     flags = _HEADLINE if len(text) > 2 and title.startswith(text) and len(text) * 2 > len(title) - 40 else 0
-    if not flags and len(line.segments) > 1 and not _BARS.isdisjoint(text):
+    if not flags and len(line.segments) > 1 and _BARS(text):
         tail = _TRAIL.split(text)[-1].strip()
         flags |= _CRUMB if len(tail) > 2 and title.startswith(tail.rstrip(".… ")) else 0
     return flags | _DATED * line.dated | _SHORT * (len(line.words) <= 6)
@@ -125,7 +125,7 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
                 kin, said = spam.kin(words, page.lang), spam.word_keys(line.words for line, count in zip(page.lines, spamwise[:, 3]) if count)
             menus = [_key(host, *line.words) for line, m in zip(page.lines, found[0]) if m]
             n = len(page.lines)
-            matrix, pieces, on_site, forms, places = np.zeros((n, 7), np.int32), [], [], [], []
+            matrix, pieces, on_site, forms, places = np.zeros((n, 13), np.int32), [], [], [], []
             nodes, shapes = _paths(page, host) if with_pieces else ([], [])
             own = []
             for i, line in enumerate(page.lines if with_pieces else ()):
@@ -138,9 +138,10 @@ def _read(batches: Iterator[pd.DataFrame], with_pieces: bool = True) -> Iterator
                 own.append((line.no, line.container, len(line.words), line.link_words, len(line.segments), _flags(line, title), form))
             weights = [s.count(" ") + 1 for s in pieces]
             if own:
-                matrix[:] = own
+                matrix[:, :7] = own
+            matrix[:, 7:] = spamwise
             tree = np.array([page.parents, page.side, [s.split(".")[0] in MAIN_TAGS for s in page.styles]], np.int32).T
-            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, np.hstack([matrix, spamwise]).astype(np.int32).tobytes(), tree.tobytes(), _keys(pieces), np.array(weights, np.int32).tobytes(), _keys(on_site), _keys(forms), places, np.array(nodes, np.uint64).view(np.int64), shapes))
+            rows.append((rep, host, lang, sure, kin, said, None, None, share, phrased, found[1], menus, matrix.tobytes(), tree.tobytes(), _keys(pieces), np.array(weights, np.int32).tobytes(), _keys(on_site), _keys(forms), places, np.array(nodes, np.uint64).view(np.int64), shapes))
         yield pd.DataFrame(rows + spill(False), columns=names)
     yield pd.DataFrame(spill(True), columns=names)
 
@@ -186,12 +187,6 @@ def with_site(parsed: DataFrame, vocabulary: DataFrame, *columns: str) -> tuple[
     return pages.drop("sure", "doubted"), medians
 
 
-def _isin(keys: np.ndarray, dull: np.ndarray) -> np.ndarray:
-    keys = np.asarray(keys, np.int64)
-    place = np.searchsorted(dull, keys)
-    return (place < len(dull)) & (dull[np.minimum(place, len(dull) - 1)] == keys) if len(dull) else np.zeros(len(keys), bool)
-
-
 Marks = tuple[np.ndarray, np.ndarray]
 
 
@@ -206,29 +201,57 @@ def _marked(parsed: DataFrame, marks: DataFrame) -> tuple[DataFrame, Marks | Non
     return parsed.join(own, F.col("rep") == F.col("r"), "left").drop("r"), None
 
 
-def _own_marks(b: pd.DataFrame, i: int, marks: Marks | None) -> Marks:
-    if marks is not None:
-        return marks
+def _own_marks(b: pd.DataFrame, i: int) -> Marks:
     found = b["marks"].iloc[i]
     pairs = sorted((r["key"], r["value"]) for r in found) if found is not None else []
     return np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.float32)
 
 
+def _looked_up(b: pd.DataFrame, columns: list[str], marks: Marks | None) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """Of each page its keys by column, which of them are marked, and the values of the last column's, nan where there is none. Marks that all pages share are sought for all at once."""
+    rows = [[np.asarray(k, np.int64) for k in keys] for keys in zip(*(b[c] for c in columns))]
+    if marks is None:
+        for i, keys in enumerate(rows):
+            there, value = _sought(np.concatenate(keys), _own_marks(b, i))
+            *ends, last = accumulate(map(len, keys), initial=0)
+            yield keys, [there[a:e] for a, e in pairwise([*ends, last])], value[ends[-1] :]
+        return
+    there, value = _sought(np.concatenate([k for keys in rows for k in keys] or [np.zeros(0, np.int64)]), marks)
+    at = 0
+    for keys in rows:
+        found = []
+        for k in keys:
+            begin, at = at, at + len(k)
+            found.append(there[begin:at])
+        yield keys, found, value[begin:at]
+
+
+def _sought(keys: np.ndarray, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
+    own, values = marks
+    if not len(own):
+        return np.zeros(len(keys), bool), np.full(len(keys), np.nan, np.float32)
+    place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+    there = own[place] == keys
+    return there, np.where(there, values[place], np.float32(np.nan))
+
+
 def _classes(marks: Marks | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, (rep, host, lines, pieces, weights, on_site, forms) in enumerate(zip(b["rep"], b["host"], b["lines"], b["pieces"], b["weights"], b["on_site"], b["forms"])):
-                own, _ = _own_marks(b, i, marks)
-                pieces, weights = np.asarray(pieces, np.int64), np.frombuffer(weights, np.int32)
-                found, found_lines, found_forms = (_isin(c, own) for c in (pieces, on_site, forms))
+            looked_up = _looked_up(b, ["pieces", "on_site", "forms"], marks)
+            for rep, host, lines, weights, (keys, found, _) in zip(b["rep"], b["host"], b["lines"], b["weights"], looked_up):
+                held = np.concatenate([k[f] for k, f in zip(keys, found)]).tolist()
+                if not held:
+                    rows.append((host, False, int(rep), []))
+                    continue
+                weights, pieces = np.frombuffer(weights, np.int32), keys[0]
                 matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
-                shared = found | np.repeat(found_lines, matrix[:, _PIECES])
+                shared = found[0] | np.repeat(found[1], matrix[:, _PIECES])
                 near = shared.any() and weights[shared].sum() >= NEAR_COPY * weights.sum()
                 # Among the longest the smallest key, so that the order of lines doesn't matter.
                 which = min(zip((-weights[shared]).tolist(), pieces[shared].tolist()))[1] if near else rep
-                held = set(pieces[found].tolist()) | set(np.asarray(on_site, np.int64)[found_lines].tolist()) | set(np.asarray(forms, np.int64)[found_forms].tolist())
-                rows.append((host, bool(near), int(which), list(held)))
+                rows.append((host, bool(near), int(which), list(set(held))))
             yield pd.DataFrame(rows, columns=["host", "near", "class", "keys"])
 
     return run
@@ -324,7 +347,8 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
     keep = headline & ~dull
     all_words, lively_words, kept = (list(accumulate(x.tolist(), initial=0)) for x in (words, words * ~dull, keep))
     total = lively_words[-1]
-    importance = composite(parents, at, node.tolist(), dull.tolist())
+    is_dull, flag, link_words = dull.tolist(), flags.tolist(), linked.tolist()
+    importance = composite(parents, at, node.tolist(), is_dull)
     known, side, main = (~np.isnan(node)).tolist(), tree[:, 1].tolist(), tree[:, 2].tolist()
     any_kept = kept[-1] > 0
     removed = np.zeros(n, bool)
@@ -334,7 +358,7 @@ def article_lines(lines: np.ndarray, tree: np.ndarray, weights: np.ndarray, dull
             continue
         lively = lively_words[b] - lively_words[a]
         body = lively > 0.5 * total
-        heading = dull[a] and flags[a] & _SHORT and not flags[a] & (_DATED | _CRUMB) and lines[a, _LINKED] == 0
+        heading = is_dull[a] and flag[a] & _SHORT and not flag[a] & (_DATED | _CRUMB) and link_words[a] == 0
         low = importance[c] < UNIMPORTANT if known[c] else side[c]
         if (low or lively < 0.5 * (all_words[b] - all_words[a])) and not body or heading and not (body and not any_kept):
             removed[a:b] = True
@@ -353,24 +377,14 @@ def _judge(medians: dict[str, tuple[float, float]], marks: Marks | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kept = []
-            columns = (b[c] for c in ("lang", "lines", "tree", "menus", "recurring", "weights", "pieces", "on_site", "forms", "nodes"))
-            for i, (lang, lines, tree, menus, recurring, weights, *keys, nodes) in enumerate(zip(*columns)):
+            columns = (b[c] for c in ("lang", "lines", "tree", "menus", "recurring", "weights"))
+            looked_up = _looked_up(b, ["pieces", "on_site", "forms", "nodes"], marks)
+            for lang, lines, tree, menus, recurring, weights, (_, found, node) in zip(*columns, looked_up):
                 matrix = np.frombuffer(lines, np.int32).reshape(-1, 13)
                 if spam.verdict(lang, spam.without_menus(matrix[:, 7:], menus, recurring), medians):
                     kept.append([])
                     continue
-                own, values = _own_marks(b, i, marks)
-                every = np.concatenate([*keys, nodes]).astype(np.int64)
-                there = np.zeros(len(every), bool)
-                if len(own):
-                    place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                    there = own[place] == every
-                ends = list(accumulate(map(len, keys), initial=0))
-                *dull, at = *(there[a:e] for a, e in pairwise(ends)), there[ends[-1] :]
-                node = np.full(len(nodes), np.nan, np.float32)
-                if at.any():
-                    node[at] = values[place[-len(nodes) :][at]]
-                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(weights, np.int32), *dull, node))
+                kept.append(article_lines(matrix, np.frombuffer(tree, np.int32).reshape(-1, 3), np.frombuffer(weights, np.int32), *found[:3], node))
             yield pd.DataFrame({"rep": b["rep"], "line_nos": kept})
 
     return run

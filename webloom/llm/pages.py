@@ -27,8 +27,9 @@ _BLANKS, _ODD = bytes(i if i > 127 or i == 0 or chr(i).isalnum() else 32 for i i
 _BARS, _ENDS = ("|", "·", "•", " » ", " › ", " > ", " / "), (". ", "! ", "? ", "。 ")
 _DATELIKE = re.compile(r"\d[./-]\d").search
 _DIGIT = re.compile(r"\d").search
-_NUMBER = re.compile(r"\d+")
-_NAME = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-Я][\w'-]*")
+#: Both open with a set of characters, which is searched for faster than a repeat or a border.
+_NUMBER = re.compile(r"\d\d*")
+_NAME = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я](?<!\w.)[\w'-]*")
 _NAMED = re.compile(r"(?i)(?:class|id|style|width|colspan)\s*=\s*[\"']?([^\"'>]*)")
 _LANG = re.compile(r"(?i)lang\s*=\s*[\"']?([A-Za-z]+)")
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
@@ -129,7 +130,7 @@ def form(text: str, names: tuple[str, ...] = ()) -> str:
 
 
 def _masked(text: str) -> str:
-    return _NAME.sub("^", _NUMBER.sub("#", text))
+    return _NAME.sub("^", _NUMBER.sub("#", text) if _DIGIT(text) else text)
 
 
 def site_names(title: str, host: str) -> tuple[str, ...]:
@@ -146,67 +147,91 @@ class _Scan:
 
     __slots__ = ("dated", "form", "lang", "link_words", "links", "norm", "ops", "segments", "separators", "style", "text", "text_at", "words")
 
-    def __init__(self, raw: str) -> None:
+    def __init__(self, raw: str, shells: bool = True) -> None:
+        if (first := raw.find("<")) < 0:
+            self.ops, self.text_at, self.style, self.lang, self.words = [], 0, "", "", []
+            text = raw
+        else:
+            # Most lines are text between two tags that recur.
+            head, last = raw.find(">", first) + 1, raw.rfind("<")
+            last = last if last > first else len(raw)
+            if shells and head and raw.find("<", first + 1, last) < 0 and not (text := raw[head:last]).isspace() and text and (not first or raw[:first].isspace()):
+                self.ops, self.text_at, self.style, self.lang, before, after = _shell(raw[:head], raw[last:])
+                self.words = []
+                text = before + text + after
+            else:
+                text = self._tags(raw)
+        self.text = html.unescape(text) if "&" in text else text
+        links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
+        self.links, self.link_words = len(links), sum(links)
+
+    def _tags(self, raw: str) -> str:
+        """What the line has besides its text; the line with blanks for tags."""
         self.ops: list[tuple[str, str, bool] | str] = []
         #: How many of these stand before the first text; the style of the first other tag; the language of <html>.
         self.text_at, self.style, self.lang = -1, "", ""
         self.words: list[str] = []
-        if "<" in raw:
-            style, parts = None, iter(_TAG.split(raw))
-            for before, close, tag, attrs in zip(parts, parts, parts, parts):
-                if self.text_at < 0 and before and not before.isspace():
-                    self.text_at = len(self.ops)
-                tag = tag.lower()
-                if tag in CONTAINERS:
-                    self.ops.append(tag if close else (tag, *_container(tag, attrs)))
-                elif style is None and not close:
-                    style = _container(tag, attrs)[0]
-                    if tag == "html" and (found := _LANG.search(attrs)):
-                        self.lang = found.group(1).lower()
-            self.style = style or ""
-            if self.text_at < 0:
+        found, style = _TAG.split(raw), None
+        parts = iter(found)
+        for before, close, tag, attrs in zip(parts, parts, parts, parts):
+            if self.text_at < 0 and before and not before.isspace():
                 self.text_at = len(self.ops)
-            self.text = visible(raw)
-        else:
-            self.text_at = 0
-            self.text = html.unescape(raw) if "&" in raw else raw
-        links = [len(_WORD.findall(visible(x))) for x in _LINK.findall(raw)] if "<a" in raw or "<A" in raw else []
-        self.links, self.link_words = len(links), sum(links)
+            tag = tag.lower()
+            if tag in CONTAINERS:
+                self.ops.append(tag if close else (tag, *_container(tag, attrs)))
+            elif style is None and not close:
+                style = _container(tag, attrs)[0]
+                if tag == "html" and (lang := _LANG.search(attrs)):
+                    self.lang = lang.group(1).lower()
+        self.style = style or ""
+        if self.text_at < 0:
+            self.text_at = len(self.ops)
+        text = " ".join(found[::4])
+        return _ANY_TAG.sub(" ", raw) if "<" in text else text
+
+
+@lru_cache(1 << 12)
+def _shell(head: str, tail: str) -> tuple[list, int, str, str, str, str]:
+    """What a line that opens with the tag ``head``, closes with ``tail`` and has text between says besides it: as ``_Scan``, and what stands for both in the text."""
+    scan = _Scan(f"{head}x{tail}", shells=False)
+    return scan.ops, scan.text_at, scan.style, scan.lang, _ANY_TAG.sub(" ", head), _ANY_TAG.sub(" ", tail)
 
 
 def _read(scans: list[_Scan]) -> None:
     """What the text of these lines says, read together: a pattern is searched for once in all of them."""
-    joined = _CUT.join([s.text for s in scans])
+    joined = f" {_CUT} ".join([s.text for s in scans])
     alone = len(scans) == 1
     if not alone and joined.count(_CUT) >= len(scans):
         for s in scans:
             _read([s])
         return
-    cut = (lambda x: [x]) if alone else (lambda x: x.split(_CUT))
-    folded = joined.casefold()
+    cut = (lambda x: [x]) if alone else (lambda x: [y.strip() for y in x.split(_CUT)])
+    folded = " ".join(joined.casefold().split())
     if alone and _CUT in folded:
         found = [_WORD.findall(folded)]
     else:
         spaced = (folded if folded.isascii() else _ODD.sub(" ", folded)).encode().translate(_BLANKS).decode()
-        found = [x.split() for x in cut(spaced)]
+        found = [x.split() for x in ([spaced] if alone else spaced.split(_CUT))]
     kept, norms = [], []
-    for s, words, low in zip(scans, found, cut(folded)):
+    for s, words, norm in zip(scans, found, cut(folded)):
         s.words = words
         if words:
             kept.append(s)
-            norms.append(" ".join(low.split()))
+            norms.append(norm)
     if not kept:
         return
-    dates = _DATELIKE(joined) is not None
+    dates, dashes = _DATELIKE(joined) is not None, "-" in joined
+    separators = [x for x in _SEPARATORS if x in joined]
     #: Segments are as they are where none of the site's names is in the line.
-    for s, norm, parts in zip(kept, norms, cut(_parted(_CUT.join(norms)))):
+    parted = _parted(_CUT.join(norms))
+    for s, norm, parts in zip(kept, norms, [parted] if alone else parted.split(_CUT)):
         text = s.text
         s.norm, s.segments, s.form = norm, _segments_of(parts), ""
         s.dated = dates and _DATELIKE(text) is not None and _DATE.search(text) is not None
-        s.separators = sum(map(text.count, _SEPARATORS)) + (len(_DASH.findall(text)) if "-" in text else 0)
+        s.separators = sum(map(text.count, separators)) + (len(_DASH.findall(text)) if dashes and "-" in text else 0)
     short = [s for s in kept if len(s.words) <= FORM_WORDS]
     if short:
-        masked = _masked(_CUT.join([" ".join(s.text.split()) for s in short]))
+        masked = _masked(" ".join(f" {_CUT} ".join([s.text for s in short]).split()))
         for s, shape in zip(short, cut(masked)):
             s.form = shape
 
@@ -258,7 +283,7 @@ def parse(page: str, host: str = "") -> Page:
         at, text_at = -1, scan.text_at
         if not text_at:
             at = stack[-1][1] if stack else -1
-        for i, op in enumerate(scan.ops, 1):
+        for i, op in enumerate(scan.ops, 1) if scan.ops else ():
             if type(op) is str:
                 for j in range(len(stack) - 1, -1, -1):
                     if stack[j][0] == op:

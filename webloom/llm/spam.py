@@ -16,13 +16,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -110,31 +113,45 @@ def word_keys(lines: Iterable[list[str]]) -> list[int]:
 
 
 class Vocabulary:
-    """In how many pages of each sure language words stand: a bounded table per task, whose parts add up."""
+    """How often words stand in pages of each sure language: a bounded table per task, whose parts add up.
 
-    def __init__(self, most: int = 1 << 19) -> None:
-        self.pages: dict[str, Counter] = {}
+    The words of pages are kept as bytes and counted together when the table is told.
+    """
+
+    def __init__(self, most: int = 1 << 21) -> None:
+        #: By language the distinct words of each page, and how often each of them stands there.
+        self.pages: dict[str, tuple[list[str], array]] = {}
         self.most, self.size = most, 0
 
-    def add(self, lang: str, words: Iterable[str]) -> None:
-        own = self.pages.setdefault(lang, Counter())
-        before = len(own)
-        own.update(words.elements() if isinstance(words, Counter) else words)  # what is no mapping is counted without a loop in Python
-        self.size += len(own) - before
+    def add(self, lang: str, words: Counter) -> None:
+        if not words:
+            return
+        said, n = self.pages.setdefault(lang, ([], array("i")))
+        said.append(" ".join(words))
+        n.extend(words.values())
+        self.size += len(words)
 
-    def spilled(self, last: bool = False) -> list[tuple[str, list[int], list[int]]]:
-        """(lang, keys of words, pages) and an empty table, if it is full or the last is told."""
+    def spilled(self, last: bool = False) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """(lang, keys of words, number) and an empty table, if it is full or the last is told."""
         if not last and self.size < self.most:
             return []
-        out = [(lang, list(map(word_key, c)), list(c.values())) for lang, c in self.pages.items()]
+        out = []
+        for lang, (said, n) in self.pages.items():
+            parts = pa.array([x.encode("utf-8", "surrogatepass") for x in said], pa.large_binary())
+            words = pc.split_pattern(parts, b" ").flatten().dictionary_encode()
+            keys = np.fromiter(map(xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary)).view(np.int64)
+            out.append((lang, keys, np.bincount(words.indices.to_numpy(), np.frombuffer(n, np.int32), len(keys)).astype(np.int32)))
         self.pages, self.size = {}, 0
         return out
 
 
 def is_menu(line: Line) -> bool:
     """A row of single words as links or between bars."""
-    n, bars = len(line.words), line.text.count("|") + line.text.count("·")
-    return 3 <= n <= 20 and (line.links >= 3 and n <= 1.3 * line.links and line.link_words >= LINKED * n or bars >= 2 and n <= 1.3 * (bars + 1))
+    n = len(line.words)
+    if not 3 <= n <= 20:
+        return False
+    bars = line.text.count("|") + line.text.count("·")
+    return line.links >= 3 and n <= 1.3 * line.links and line.link_words >= LINKED * n or bars >= 2 and n <= 1.3 * (bars + 1)
 
 
 def menu_lines(page: Page, outside: list[bool]) -> tuple[list[bool], bool]:
@@ -165,21 +182,24 @@ def _phrased(lines: list[list[str]], counts: Counter) -> list[int]:
     words = list(chain.from_iterable(lines))
     least = max(REPEATED, len(words) / ONCE_IN)
     often = {w for w, n in counts.items() if n >= least}
-    if len(words) < RUN or bytes(RUN * [1]) not in bytes(map(often.__contains__, words)):
-        return [0] * len(lines)
-    runs = list(zip(*(words[i:] for i in range(RUN))))
-    if len(runs) - len(set(runs)) < REPEATED - 1:
+    # A byte per word; runs are put together only where all their words are frequent.
+    frequent, full = bytes(map(often.__contains__, words)), bytes(RUN * [1])
+    starts, i = [], frequent.find(full)
+    while i >= 0:
+        starts.append(i)
+        i = frequent.find(full, i + 1)
+    if len(starts) < REPEATED:
         return [0] * len(lines)
+    runs = [tuple(words[i : i + RUN]) for i in starts]
     counts = Counter(runs)
-    covered = np.zeros(len(words) + 1, np.int32)
-    for i, run in enumerate(runs):
+    covered = bytearray(len(words))
+    for i, run in zip(starts, runs):
         if counts[run] >= least:
-            covered[i : i + RUN] = 1
-    if covered.sum() < LEAST_PHRASED:
+            covered[i : i + RUN] = full
+    if covered.count(1) < LEAST_PHRASED:
         return [0] * len(lines)
-    ends = np.cumsum([0, *map(len, lines)])
-    before = np.concatenate([[0], np.cumsum(covered)])
-    return (before[ends[1:]] - before[ends[:-1]]).tolist()
+    ends = list(accumulate(map(len, lines), initial=0))
+    return [covered.count(1, a, e) for a, e in pairwise(ends)]
 
 
 def measure(page: Page, outside: list[bool], menus: list[bool] | None = None, doubted: bool = False) -> tuple[str, bool, Counter, float, float, np.ndarray]:
@@ -303,12 +323,16 @@ def spam_share(lang: str, lines: np.ndarray, medians: dict[str, tuple[float, flo
 
     Lines of a language that has no median, like und, are not asked for function words.
     """
-    words = lines[:, 3]
+    if not len(lines):
+        return 0, 0
+    # Lists, as a page has few lines.
+    has, around, listed, words, tops, phrased = lines.T.tolist()
     least, most = medians.get(lang, (0.0, PHRASED))
-    phrased = lines[:, 5:].sum(axis=1)
-    own = np.maximum(lines[:, 4], phrased) if phrased.sum() >= most * words.sum() else lines[:, 4]
-    bad = (lines[:, 2] > 0) | (lines[:, 0] < 1000 * least * np.where(lines[:, 1] > 0, OF_MEDIAN_STUFFED, OF_MEDIAN))
-    return int(np.where(bad, words, own).sum()), int(words.sum())
+    total = sum(words)
+    own = map(max, tops, phrased) if sum(phrased) >= most * total else tops
+    alone, pooled = 1000 * least * OF_MEDIAN, 1000 * least * OF_MEDIAN_STUFFED
+    bad = sum(n if is_list > 0 or f < (pooled if a > 0 else alone) else o for f, a, is_list, n, o in zip(has, around, listed, words, own))
+    return bad, total
 
 
 def verdict(lang: str, lines: np.ndarray, medians: dict[str, tuple[float, float]]) -> bool:
